@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kerbside.llm import decontaminate, licenses, mixing
+from kerbside.llm import decontaminate, jaccard, licenses, mixing
 
 QUERIES = {
     "op1_decontaminate": decontaminate.digest,
+    "op7_jaccard_join": jaccard.digest,
     "op9_mixing": mixing.digest,
     "op10_licenses": licenses.digest,
 }
