@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kerbside.llm import decontaminate, jaccard, licenses, mixing, tokens_out
+from kerbside.llm import decontaminate, jaccard, licenses, mixing, tokens_out, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.digest,
+    "op2_toxicity": toxicity.digest,
     "op5_token_output": tokens_out.digest,
     "op7_jaccard_join": jaccard.digest,
     "op9_mixing": mixing.digest,
