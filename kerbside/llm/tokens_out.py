@@ -20,9 +20,9 @@ can be any that Spark writes to.
 
 Texts are encoded with the tokenizers library.  A byte-level BPE never joins what a
 white-space character separates from the non-space before it, so a text is the
-concatenation of its chunks (white space and the non-space after it).  Distinct
-chunks are encoded together and kept in a bounded table, which spares the library
-the words it has seen.
+concatenation of its chunks (white space and the non-space after it, letters also
+without the punctuation after them).  Chunks are encoded once each and kept in a
+bounded table, which spares the library the words it has seen.
 
 Cases: null and empty texts are the end id alone; rows that repeat an id lie next to
 each other, ordered by their text; null ids come first; an empty table writes no
@@ -56,12 +56,15 @@ FILE_CHARS = 48 << 20
 SEGMENT_CHARS = 4 << 20
 #: Chunks whose ids are kept in a worker.
 CACHE = 400_000
+#: Files up to which their offsets are broadcast (some 100 bytes each); more are joined by a shuffle.
+BROADCAST_FILES = 50_000
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 
 #: The characters with Unicode's White_Space property, which the tokenizer's pattern splits at.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: A word of letters that is followed by white space or common punctuation, or else all up to the next white space.
+_CHUNK = re.compile(f"[{_SPACE}]*[^\\W\\d_]+(?=[{_SPACE}.,;:!?]|$)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
 def width_of(vocabulary: int) -> int:
@@ -70,41 +73,84 @@ def width_of(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
-    """Ids in ``width`` bits each, most significant bit first, padded to whole bytes."""
-    out = []
-    for at in range(0, len(ids), BLOCK):
-        own = np.asarray(ids[at : at + BLOCK], ">u4")
-        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
-        out.append(np.packbits(bits.ravel()).tobytes())
-    return b"".join(out)
+    """Ids in ``width`` bits each, most significant bit first, padded to whole bytes.
+
+    Eight ids fill ``width`` bytes, so the shifts of each of the eight are constant.
+    """
+    n = len(ids)
+    groups = -(-n // 8)
+    padded = np.zeros(groups * 8, np.uint64)
+    padded[:n] = ids
+    columns = padded.reshape(groups, 8)
+    out = np.zeros((groups, width), np.uint8)
+    for k in range(8):
+        lo, hi = k * width, (k + 1) * width
+        for byte in range(lo // 8, (hi + 7) // 8):
+            shift = hi - 8 * (byte + 1)
+            part = columns[:, k] >> np.uint64(shift) if shift >= 0 else columns[:, k] << np.uint64(-shift)
+            out[:, byte] |= (part & np.uint64(0xFF)).astype(np.uint8)
+    return out.tobytes()[: (n * width + 7) // 8]
 
 
 def unpack(data, n: int, width: int, start: int = 0) -> np.ndarray:
-    """``n`` ids from number ``start`` on; touches only the bytes that hold them."""
-    lo, skip = divmod(start * width, 8)
-    hi = (start * width + n * width + 7) // 8
-    raw = np.frombuffer(data, np.uint8)[lo:hi]
-    bits = np.unpackbits(raw)[skip : skip + n * width].reshape(n, width)
-    full = np.zeros((n, 32), np.uint8)
-    full[:, 32 - width :] = bits
-    return np.packbits(full, axis=1).view(">u4").ravel().astype(np.uint32)
+    """``n`` ids from number ``start`` on; touches only the bytes that hold them, in groups of eight ids."""
+    first = start // 8
+    groups = -(-(start + n) // 8) - first
+    raw = np.frombuffer(data, np.uint8)[first * width : (first + groups) * width]
+    full = np.zeros(groups * width, np.uint8)
+    full[: len(raw)] = raw
+    columns = full.reshape(groups, width)
+    out = np.zeros((groups, 8), np.uint32)
+    for k in range(8):
+        lo, hi = k * width, (k + 1) * width
+        value = np.zeros(groups, np.uint64)
+        for byte in range(lo // 8, (hi + 7) // 8):
+            value = value << np.uint64(8) | columns[:, byte]
+        value >>= np.uint64((8 - hi % 8) % 8)
+        out[:, k] = value & np.uint64((1 << width) - 1)
+    skip = start - 8 * first
+    return out.ravel()[skip : skip + n]
+
+
+def _byte_letters() -> dict[int, int]:
+    """Code points by which a byte-level BPE writes bytes: printable ones themselves, the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
 
 class Encoder:
-    """Encodes whole texts; keeps the ids of chunks it has seen, ``CACHE`` at most."""
+    """Encodes whole texts; keeps the ids of chunks it has seen.
+
+    Two generations of at most ``CACHE`` chunks: when the younger is full it replaces
+    the older, from which chunks that are still in use come back.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
+        self.letters = _byte_letters()
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        for c, e in zip(chunks, got):
-            self.seen[c] = np.array(e.ids, np.uint32).tobytes()
+        rest, space = [], chr(self.letters[0x20])
+        for c in chunks:
+            # one space and letters: the tokenizer's pattern keeps them together, so its model gets them as they are
+            if (c[1:] if c[0] == " " else c).isalpha():
+                mapped = c.replace(" ", space) if c.isascii() else c.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(mapped)]
+                self.seen[c] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(c)
+        if rest:
+            got = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            for c, e in zip(rest, got):
+                self.seen[c] = np.array(e.ids, np.uint32).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
@@ -114,8 +160,15 @@ class Encoder:
         except KeyError:
             pass
         if len(self.seen) > CACHE:
-            self.seen.clear()
-        self._learn([c for c in dict.fromkeys(chunks) if c not in self.seen])
+            self.old, self.seen = self.seen, {}
+        new = []
+        for c in dict.fromkeys(chunks):
+            if c not in self.seen:
+                if (ids := self.old.get(c)) is None:
+                    new.append(c)
+                else:
+                    self.seen[c] = ids
+        self._learn(new)
         return b"".join([self.seen[c] for c in chunks])
 
 
@@ -226,6 +279,8 @@ def read_tokens(spark, path: str) -> DataFrame:
     # one row for each file: their names carry the number of the partition, which is in order of the ids
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if len(files.inputFiles()) <= BROADCAST_FILES:
+        bases = F.broadcast(bases)
     placed = files.select("path", "content").join(bases, "path").select("base", "content")
     return placed.mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
 

@@ -26,7 +26,7 @@ def test_pack_round_trip_and_random_access(width):
 def texts():
     r = random.Random(4)
     odd = ["", " ", "  ", "\n\n x", "a  b", "it's  we'll", "<|endoftext|>", "a <|endoftext|> b", " <|endoftext|>\n", "é ß  x", "x\x00y\x1fz", "日本 語", "12 345", "a\r\n\tb ", "\x1c\x1d q"]
-    alphabet = ["a", "b", " ", "  ", "\n", "é", "'s", "7", "!", "　", "\x85", "\x1c", "\u2003", "word", " the"]
+    alphabet = ["a", "b", " ", "  ", "\n", "é", "'s", "7", "!", "　", "\x85", "\x1c", "\u2003", "word", " the", ",", ").", "²", "Ⅷ", "́", "_", "ı", "ﬁ"]
     return odd + ["".join(r.choice(alphabet) for _ in range(r.randint(1, 90))) for _ in range(400)]
 
 
