@@ -22,6 +22,11 @@ link if ``100 * |A & B| >= percent * |A | B|``.
 7. What is left is verified on the whole sets, and all links are joined by
    distributed union-find.
 
+Before a set is sent to a verification, a digest of 128 bytes is compared: tokens
+are dealt to ``PARTS`` parts by hash, and each part has four bits that change with
+its tokens.  Parts that differ are at most as many as tokens that differ, so a pair
+with more of them than the sizes allow cannot link.
+
 No link is lost: the first common token of two sets that link lies in the prefixes
 of both and passes the tests of step 5; pairs skipped in steps 4 to 6 either cannot
 link or are connected already.
@@ -52,6 +57,8 @@ SKETCH_BITS = 18
 RARITY_BITS = 10
 #: Bits of the bitmap that spares sets nobody asks for; a full one only costs time.
 FILTER_BITS = 25
+#: Parts of a digest, of four bits each; a multiple of 16.
+PARTS = 256
 
 
 def _sketch(texts: DataFrame) -> DataFrame:
@@ -118,6 +125,17 @@ def _signatures(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
+def _digests(tokens: np.ndarray, bounds: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Digests of the sets ``docs``, shape (sets, PARTS / 16), 16 parts of four bits in each number."""
+    sizes = (bounds[1:] - bounds[:-1])[docs]
+    at = np.repeat(bounds[:-1][docs] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    h = mix(tokens[at] + U64(0x5851F42D4C957F2D))
+    cell = np.repeat(np.arange(len(docs)), sizes) * PARTS + (h & U64(PARTS - 1)).astype(np.int64)
+    sums = np.bincount(cell, ((h >> U64(32)) & U64(15)).astype(np.float64), minlength=len(docs) * PARTS)
+    nibbles = (sums.astype(np.int64) & 15).astype(U64).reshape(len(docs), PARTS // 16, 16)
+    return np.bitwise_or.reduce(nibbles << (U64(4) * np.arange(16, dtype=U64)), axis=2)
+
+
 def prefix_length(n, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
@@ -128,8 +146,8 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def _prefixes(texts: DataFrame, levels, percent: int, k: int, seed: int) -> DataFrame:
-    """A row for each text: id, n, v, check and, at a set's first sight within the task, its prefix."""
-    schema = f"id {texts.schema['id'].dataType.simpleString()}, n bigint, v bigint, check bigint, prefix array<bigint>"
+    """A row for each text: id, n, v, check and, at a set's first sight within the task, its prefix and its digest."""
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, n bigint, v bigint, check bigint, prefix array<bigint>, digest array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -145,10 +163,11 @@ def _prefixes(texts: DataFrame, levels, percent: int, k: int, seed: int) -> Data
                     seen.add(x)
                 if len(seen) > 2_000_000:
                     seen.clear()  # only spares repeats
-                at = np.repeat(bounds[:-1] - np.concatenate(([0], np.cumsum(take)[:-1])), take) + np.arange(take.sum())
+                at = np.repeat(bounds[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())
+                digests = _digests(tokens, bounds, np.flatnonzero(take))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sizes), pa.array(v.view(np.int64)), pa.array(check.view(np.int64)), _lists(tokens[at], take)],
-                    names=["id", "n", "v", "check", "prefix"],
+                    [part.column("id"), pa.array(sizes), pa.array(v.view(np.int64)), pa.array(check.view(np.int64)), _lists(tokens[at], take), _lists(digests.ravel(), np.where(take > 0, PARTS // 16, 0))],
+                    names=["id", "n", "v", "check", "prefix", "digest"],
                 )
 
     return texts.mapInArrow(run, schema)
@@ -201,6 +220,17 @@ def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
     return fits & (F.col(f"{a}.n") - F.col(f"{a}.pos") >= need) & (F.col(f"{b}.n") - F.col(f"{b}.pos") >= need)
 
 
+def _may_be_near(pairs: DataFrame, digests: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) that their digests (v, n, digest) allow to link."""
+    left, right = (digests.select(F.col("v").alias(x), F.col("n").alias(f"n_{x}"), F.col("digest").alias(f"d_{x}")) for x in "ab")
+    met = pairs.join(right, "b").join(left, "a")
+    spread = lambda x: x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+    changed = F.zip_with("d_a", "d_b", lambda x, y: F.bit_count(spread(x.bitwiseXOR(y)).bitwiseAND(F.lit(0x1111111111111111))))
+    differing = F.aggregate(changed, F.lit(0), lambda t, x: t + x)
+    allowed = F.col("n_a") + F.col("n_b") - 2 * _least_overlap("n_a", "n_b", percent)
+    return met.where(differing <= allowed).select(*pairs.columns)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, na, nb) for pairs of set values."""
     left = sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta"))
@@ -238,7 +268,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # step 4: leaders
     leaders = lists.where("key = first").groupBy("token").agg(F.min("v").alias("v")).join(lists, ["token", "v"]).select("token", "v", "n", "pos")
     star = lists.alias("b").join(leaders.alias("a"), "token").where(F.col("a.v") != F.col("b.v")).where(_may_link(percent))
-    star = materialise(star.select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct(), "star")
+    digests = materialise(sets.where(F.size("digest") > 0).select("v", "n", "digest").join(lists.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]), "digests")
+    star = materialise(_may_be_near(star.select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct(), digests, percent), "star")
     asked = star.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     known = materialise(_needed(texts, asked, levels, k, seed), "sets")
     answers = materialise(_verify(star, known), "answers")
@@ -263,7 +294,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
     )
     judged = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(judged, ["a", "b"], "left_anti")
+    rest = _may_be_near(rest.join(judged, ["a", "b"], "left_anti"), digests, percent)
     # the nearest leader of each set: its distance as (differing, of all)
     apart = F.struct(
         ((F.col("na") + F.col("nb") - 2 * F.col("common")) / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"), F.col("a").alias("leader")
