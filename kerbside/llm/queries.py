@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from kerbside.llm import decontaminate, jaccard, licenses, mixing, tokens_out, toxicity
+from kerbside.llm import decontaminate, jaccard, langid, licenses, mixing, tokens_out, toxicity, wordpiece
 
 QUERIES = {
     "op1_decontaminate": decontaminate.digest,
     "op2_toxicity": toxicity.digest,
     "op5_token_output": tokens_out.digest,
+    "op6_token_counts": wordpiece.digest,
     "op7_jaccard_join": jaccard.digest,
+    "op8_language_id": langid.digest,
     "op9_mixing": mixing.digest,
     "op10_licenses": licenses.digest,
 }
