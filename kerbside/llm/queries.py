@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from kerbside.llm import decontaminate, jaccard, langid, licenses, mixing, quality, tokens_out, toxicity, wordpiece
+from kerbside.llm import decontaminate, jaccard, langid, licenses, linededup, mixing, quality, tokens_out, toxicity, wordpiece
 
 QUERIES = {
     "op1_decontaminate": decontaminate.digest,
     "op2_toxicity": toxicity.digest,
+    "op3_line_dedup": linededup.digest,
     "op4_quality": quality.digest,
     "op5_token_output": tokens_out.digest,
     "op6_token_counts": wordpiece.digest,
