@@ -3,10 +3,11 @@
 A document's set holds the hashes of its distinct ``k``-word shingles.  Two sets
 link if ``100 * |A & B| >= percent * |A | B|``.
 
-1. Tokens of a set are ordered by rarity (a fixed-size sketch of word counts over
-   the whole corpus), then by hash.  The rarity is part of the token, so the order
-   is one and the same everywhere.  Rare tokens come first: edited copies differ
-   in their first tokens, and passages that many documents share come last.
+1. Tokens of a set are ordered by rarity, then by hash.  Rarity comes from two
+   sketches of fixed size over the whole corpus: of shingles that recur, and of the
+   words in them.  It is part of the token, so the order is one and the same
+   everywhere, and any order gives the same links.  Rare tokens come first: edited
+   copies differ in their first tokens, and what many documents share comes last.
 2. Equal sets form one set, known by a 64-bit value that is checked by a second one.
 3. The first ``n - ceil(percent * n / 100) + 1`` tokens of a set enter inverted
    lists.  Only lists with two sets or more are kept.
@@ -53,51 +54,73 @@ from kerbside.storage import drop_materialised, materialise
 K, PERCENT = 3, 90
 #: Counters of the sketch of word counts: its size, whatever the corpus has.
 SKETCH_BITS = 18
-#: Bits of a token that hold its rarity.
-RARITY_BITS = 10
+#: Counters of the sketch of shingles, and how often a task has to see one to report it.
+SHINGLE_BITS, SEEN_OFTEN = 24, 3
+#: A shingle counts as frequent from so many times the mean counter on, which bounds how many there are.
+FREQUENT = 16
+#: Bits of a token that hold its rarity: 6 of the shingle's level, 8 of its words'.
+RARITY_BITS = 14
 #: Bits of the bitmap that spares sets nobody asks for; a full one only costs time.
 FILTER_BITS = 25
 #: Parts of a digest, of four bits each; a multiple of 16.
 PARTS = 256
 
 
-def _sketch(texts: DataFrame) -> DataFrame:
-    """(bucket, n): words of the corpus by the leading bits of their hash."""
+def _sketch(texts: DataFrame, k: int) -> DataFrame:
+    """(kind, bucket, n): words (0) by the leading bits of their hash, and shingles (1) that a task sees often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+        recur = np.zeros(1 << SHINGLE_BITS, np.uint16)
         for batch in batches:
             for part in slices(batch, "text"):
-                h = Words(part.column("text"), BLANK_LOWER).hashes()
-                if len(h):
-                    total += np.bincount((h >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    return texts.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-
-
-def _levels(texts: DataFrame) -> np.ndarray:
-    """Rarity of each bucket of the sketch, 0 (rarest) to 340; at most 2**SKETCH_BITS rows reach the driver."""
-    rows = _sketch(texts).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.uint16)
-    out[rows["bucket"].to_numpy(np.int64)] = np.minimum(340, np.floor(6 * np.log2(rows["n"].to_numpy(np.float64)))).astype(np.uint16)
-    return out
+                words = Words(part.column("text"), BLANK_LOWER)
+                h = words.hashes()
+                if not len(h):
+                    continue
+                total += np.bincount((h >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                at, n = np.unique((ngrams(h, k) >> U64(64 - SHINGLE_BITS)).astype(np.int64), return_counts=True)
+                recur[at] = np.minimum(recur[at] + n, 65535)
+        for kind, counts in ((0, total), (1, np.where(recur >= SEEN_OFTEN, recur, 0))):
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["kind", "bucket", "n"]
+            )
+
+    return texts.mapInArrow(run, "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+
+
+def _levels(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the buckets of both sketches, from 0 (rarest).
+
+    At most 2**SKETCH_BITS words and 2**SHINGLE_BITS / FREQUENT shingles reach the
+    driver: no more buckets can hold FREQUENT times the mean.
+    """
+    counted = materialise(_sketch(texts, k), "sketch")
+    mean = (counted.where("kind = 1").agg(F.sum("n")).first()[0] or 0) / (1 << SHINGLE_BITS)
+    rows = counted.where((F.col("kind") == 0) | (F.col("n") > FREQUENT * mean)).toPandas()
+    word, shingle = np.zeros(1 << SKETCH_BITS, np.uint16), np.zeros(1 << SHINGLE_BITS, np.uint8)
+    for kind, out, per, top in ((0, word, 6, 340), (1, shingle, 2, 63)):
+        own = rows[rows["kind"] == kind]
+        out[own["bucket"].to_numpy(np.int64)] = np.minimum(top, np.floor(per * np.log2(own["n"].to_numpy(np.float64))))
+    return word, shingle
 
 
-def token_sets(words: Words, levels: np.ndarray, k: int = K, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def token_sets(words: Words, levels: tuple[np.ndarray, np.ndarray], k: int = K, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct tokens of all texts, one after the other, and the bounds of each text's (n + 1)."""
     h = words.hashes()
-    rarity = levels[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64)
+    of_words, of_shingles = levels
+    rarity = of_words[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(U64)
     counts = words.counts()
     grams = ngrams(h, k)
     level = np.zeros(len(grams), U64)
     for j in range(k):
         level += rarity[j : j + len(grams)]
+    recur = of_shingles[(grams >> U64(64 - SHINGLE_BITS)).astype(np.int64)].astype(U64)
     if seed:
         grams = mix(grams + U64(seed))
     top, low = U64(64 - RARITY_BITS), U64(RARITY_BITS)
-    tokens = (np.minimum(level, U64((1 << RARITY_BITS) - 1)) << top) | (grams >> low)
+    tokens = ((recur << U64(8) | np.minimum(level >> U64(2), U64(255))) << top) | (grams >> low)
     out, bounds = [], np.zeros(len(counts) + 1, np.int64)
     for d, (lo, n) in enumerate(zip(words.first[:-1].tolist(), counts.tolist())):
         if n >= k:
@@ -252,7 +275,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    levels = spark.sparkContext.broadcast(_levels(texts.select("text")))  # 2**SKETCH_BITS numbers of 2 bytes
+    levels = spark.sparkContext.broadcast(_levels(texts.select("text"), k))  # 2**SKETCH_BITS numbers of 2 bytes, 2**SHINGLE_BITS of one
     while True:
         rows = materialise(_prefixes(texts, levels, percent, k, seed), "prefixes")
         sets = rows.where("n > 0")
