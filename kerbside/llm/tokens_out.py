@@ -53,9 +53,9 @@ MAGIC, END = b"KBTK", b"KBTKEND\0"
 #: Characters of text for each file, about; a file is read back as a whole.
 FILE_CHARS = 48 << 20
 #: Characters of text for each segment, about; a segment is built in memory.
-SEGMENT_CHARS = 4 << 20
+SEGMENT_CHARS = 2 << 20
 #: Chunks whose ids are kept in a worker.
-CACHE = 400_000
+CACHE = 250_000
 #: Files up to which their offsets are broadcast (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_FILES = 50_000
 END_ID = 2

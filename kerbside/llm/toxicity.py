@@ -1,16 +1,16 @@
 """Toxicity: a linear-chain conditional random field over words, and document scores from its marginals.
 
-Training reads labels of documents only.  Words are labelled from them: a greedy
-cover picks the stems and words that explain the toxic documents of the sample and
-stay out of the clean ones, and each word of a toxic document that carries such a
-stem is labelled toxic.  The field (labels clean and toxic; features of a word: the
+Training reads labels of documents only.  Words are labelled from them: stems and
+words that toxic documents of the sample have and clean ones lack, by more than
+chance would bring about among so many features, mark the words of toxic documents
+that carry them; of copies with small edits one counts.  The field (labels clean and toxic; features of a word: the
 word, its first 3 to 6 bytes, its last 3; transitions between neighbours) is fitted
 to those labelled words by its exact gradient.
 
-Scoring runs forward-backward over the whole text.  The most certain word and the
-expected number of toxic words give the document's score by a logistic regression
-fitted to the sample; words with a marginal of at least one half, neighbours joined,
-give the offending spans with code-point offsets of the original text.
+Scoring runs forward-backward over the whole text.  Words with a marginal of at
+least one half, neighbours joined, give the offending spans with code-point offsets
+of the original text.  A document's score is the probability that any of these words
+is toxic, taken as independent; without such a word it is the largest marginal.
 
 The chain is worked on for many texts at once: the forward and backward messages of
 a binary chain are products of 2 x 2 matrices, and a matrix of equal rows at the
@@ -19,9 +19,8 @@ start of each text keeps the texts apart.
 Bounds: the fit takes at most ``SAMPLE_ROWS`` labelled documents of each class, and
 at most about ``SAMPLE_CHARS`` characters, chosen by a hash of the id.
 
-Cases: null and empty texts have no words and get the score of a document without
-any toxic word; rows that repeat an id are scored each by its own text; a label that
-is null is no label; without toxic or without clean labels every score is 0; other
+Cases: null and empty texts have no words and score 0; rows that repeat an id are scored each by its own text; a label that
+is null is no label; without toxic or without clean labels, or marks, every score is 0; other
 columns are not read.
 """
 
@@ -34,15 +33,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.textvec import ALNUM, BASE, U64, Words, mix, slices
+from kerbside.llm.textvec import ALNUM, BASE, U64, Words, mix, ngrams, slices
 
 SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 10_000_000
+SAMPLE_CHARS = 6_000_000
 #: Feature values are hashed into so many cells for each kind of feature.
 CELL_BITS = 18
 KINDS = ("word", "first 3", "first 4", "first 5", "first 6", "last 3")
-#: Kinds from which the cover picks, and the fewest toxic documents that a pick explains.
-COVER_KINDS, COVER_GAIN, COVER_PICKS = (0, 2, 3, 4), 2, 400
+#: Kinds of features that can mark a word as toxic.
+STEM_KINDS = (0, 2, 3, 4)
+#: Share of a mark's documents that are toxic, classes weighted alike, and the number of marks expected by chance.
+PURITY, MISTAKES = 0.97, 0.01
+#: Share of a mark's documents in which no other mark is more frequent.
+LEADS = 0.01
 EPOCHS = 40
 CLIP = 30.0
 
@@ -76,8 +79,6 @@ class Field:
         self.bias = 0.0
         self.transitions = np.zeros((2, 2))
         self.start = np.zeros(2)
-        #: Score of a document: weights of (1, log-odds of its surest word, log(1 + expected toxic words)).
-        self.head = np.zeros(3)
         self.usable = False
 
     def emissions(self, cells: np.ndarray) -> np.ndarray:
@@ -86,17 +87,6 @@ class Field:
             out += self.cells[k][cells[k]]
         return np.clip(out, -CLIP, CLIP)
 
-    def score(self, surest: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        if not self.usable:
-            return np.zeros(len(surest))
-        x = self.head[0] + self.head[1] * _log_odds(surest) + self.head[2] * np.log1p(expected)
-        return 1 / (1 + np.exp(-np.clip(x, -CLIP, CLIP)))
-
-
-def _log_odds(p: np.ndarray) -> np.ndarray:
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return np.log(p / (1 - p))
-
 
 def forward_backward(emission: np.ndarray, is_start: np.ndarray, field: Field) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of label 1 at each word, and of the label pairs (before, at) summed over all inner words (2, 2).
@@ -178,39 +168,62 @@ def _starts(words: Words) -> np.ndarray:
 
 
 def label_words(words: Words, cells: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Labels of the words of labelled texts: a greedy cover of the toxic texts by features that clean texts lack."""
+    """Labels of the words of labelled texts: those of toxic texts with a stem or word that clean texts lack by more than chance."""
     counts = words.counts()
     doc = np.repeat(np.arange(len(counts)), counts)
-    keys = np.concatenate([(np.int64(k) << CELL_BITS) | cells[k] for k in COVER_KINDS]) if len(doc) else np.zeros(0, np.int64)
-    pairs = np.unique((keys << 24) | np.tile(doc, len(COVER_KINDS)))  # at most 2 * SAMPLE_ROWS documents
+    keys = np.concatenate([(np.int64(k) << CELL_BITS) | cells[k] for k in STEM_KINDS]) if len(doc) else np.zeros(0, np.int64)
+    pairs = np.unique((keys << 24) | np.tile(doc, len(STEM_KINDS)))  # at most 2 * SAMPLE_ROWS documents
     key, at = pairs >> 24, pairs & ((1 << 24) - 1)
     names, group = np.unique(key, return_inverse=True)
     hot = toxic[at]
-    in_clean = np.bincount(group[~hot], minlength=len(names))
-    n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    n = np.bincount(group, minlength=len(names))
     group, at = group[hot], at[hot]
     in_toxic = np.bincount(group, minlength=len(names))
-    # rates per document of its class; a pick has to be twenty times as frequent in toxic ones
-    allowed = in_toxic / n_toxic >= 20 * (in_clean + 0.02) / n_clean
+    # chance that so many of a feature's n documents are toxic if it had no part in it (Chernoff's bound), times the
+    # number of features that are as frequent: the expected number of features that are picked by mistake
+    share, rate = toxic.mean(), in_toxic / np.maximum(n, 1)
+    entropy = lambda p, q: np.where(p > 0, p * np.log(np.maximum(p, 1e-12) / q), 0.0)
+    surprise = n * (entropy(rate, share) + entropy(1 - rate, 1 - share))
+    as_frequent = len(n) - np.searchsorted(np.sort(n), n)
+    of_toxic, of_clean = in_toxic / toxic.sum(), (n - in_toxic) / (~toxic).sum()
+    pure = of_toxic >= PURITY * (of_toxic + of_clean)
+    allowed = (pure & (rate > share) & (surprise - np.log(np.maximum(as_frequent, 1)) > -np.log(MISTAKES)))
+    # a mark has to be the most frequent one in some of its documents: words that only go along with marks are none
     keep = allowed[group]
     group, at = group[keep], at[keep]
-    open_docs, picked = toxic.copy(), []
-    for _ in range(COVER_PICKS):
-        gain = np.bincount(group[open_docs[at]], minlength=len(names)) if len(names) else np.zeros(0)
-        if not len(gain) or gain.max() < COVER_GAIN:
-            break
-        best = int(np.argmax(gain))
-        picked.append(names[best])
-        open_docs[at[group == best]] = False
-    lexicon = np.array(sorted(picked), np.int64)
+    best = np.zeros(len(counts), np.int64)
+    np.maximum.at(best, at, in_toxic[group])
+    leads = np.bincount(group[in_toxic[group] == best[at]], minlength=len(names))
+    lexicon = names[allowed & (leads >= np.maximum(1, LEADS * in_toxic))]
     out = np.zeros(len(doc), bool)
-    for k in COVER_KINDS:
+    for k in STEM_KINDS:
         out |= np.isin((np.int64(k) << CELL_BITS) | cells[k].astype(np.int64), lexicon)
     return out & toxic[doc]
 
 
+def families(words: Words) -> np.ndarray:
+    """For each text the number of the first text that is nearly the same: one that shares a band of two minima of word triples."""
+    counts, runs = words.counts(), ngrams(words.hashes(), 3)
+    first = np.arange(len(counts))
+    long = np.flatnonzero(counts >= 3)
+    if not len(long):
+        return first
+    doc = np.repeat(np.arange(len(counts)), counts)[: len(runs)]
+    inside = doc == np.repeat(np.arange(len(counts)), counts)[2:]
+    bounds = words.first[:-1][long]
+    for band in range(8):
+        key = np.zeros(len(long), U64)
+        for row in range(2):
+            h = mix(runs + U64(0x1F0F * (2 * band + row + 1)))
+            h[~inside] = U64(0xFFFFFFFFFFFFFFFF)
+            key = mix(key + np.minimum.reduceat(h, bounds))
+        _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+        first[long] = np.minimum(first[long], first[long[at[inverse]]])
+    return first
+
+
 def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS) -> Field:
-    """Fit the field and the document head to labelled texts; copies of a text count once."""
+    """Fit the field to labelled texts; copies of a text count once."""
     field = Field()
     distinct = {}
     for t, x in zip(texts, toxic.tolist()):
@@ -218,7 +231,11 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS) -> Field:
     toxic = np.array(list(distinct.values()), bool)
     if not toxic.any() or toxic.all():
         return field
-    words = Words(pa.array(list(distinct), pa.large_string()), ALNUM)
+    # copies with small edits would count their other words as often as the toxic ones
+    first = families(Words(pa.array(list(distinct), pa.large_string()), ALNUM))
+    own = (first == np.arange(len(first))) | (toxic != toxic[first])
+    texts, toxic = [t for t, k in zip(distinct, own.tolist()) if k], toxic[own]
+    words = Words(pa.array(texts, pa.large_string()), ALNUM)
     cells, begin = features(words), _starts(words)
     labels = label_words(words, cells, toxic)
     if not labels.any():
@@ -251,36 +268,21 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS) -> Field:
             setattr(field, name, getattr(field, name) - 0.2 * g / np.sqrt(small[name]))
     for k, (w, (u, _)) in enumerate(zip(weights, used)):
         field.cells[k][u] = w
-    surest, expected = _documents(words, forward_backward(field.emissions(cells), begin, field)[0])
-    field.head = _logistic(np.stack((np.ones(len(surest)), _log_odds(surest), np.log1p(expected)), axis=1), toxic.astype(float))
     field.usable = True
     return field
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton's method, both classes of equal weight."""
-    w = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
-    ridge = np.diag([1e-3] + [1e-2] * (x.shape[1] - 1)) * len(y) / 10
-    b = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -CLIP, CLIP)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (w * (p - y)) + ridge @ b)
-        b -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return b
-
-
-def _documents(words: Words, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text: the largest marginal, and the expected number of toxic words among the likely ones."""
+def document_scores(words: Words, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text its score and its largest marginal."""
     counts = words.counts()
-    surest, expected = np.zeros(len(counts)), np.zeros(len(counts))
+    score, surest = np.zeros(len(counts)), np.zeros(len(counts))
     full = counts > 0
     if full.any():
         at = words.first[:-1][full]
         surest[full] = np.maximum.reduceat(p, at)
-        expected[full] = np.add.reduceat(np.where(p >= 0.5, p, 0), at)
-    return surest, expected
+        none = np.exp(np.add.reduceat(np.where(p >= 0.5, np.log(np.maximum(1 - p, 1e-12)), 0.0), at))
+        score[full] = np.where(surest[full] >= 0.5, 1 - none, surest[full])
+    return score, surest
 
 
 def held_out(id_col: str = "doc_id", parts: int = 5, part: int = 0) -> Column:
@@ -329,8 +331,8 @@ def score_documents(docs: DataFrame, field: Field, text_col: str = "text", spans
             for part in slices(batch, text_col):
                 words = Words(part.column(text_col), ALNUM)
                 p, _ = forward_backward(model.emissions(features(words)), _starts(words), model)
-                surest, expected = _documents(words, p)
-                more = [pa.array(model.score(surest, expected))]
+                score, surest = document_scores(words, p)
+                more = [pa.array(score if model.usable else np.zeros(len(score)))]
                 if spans:
                     found = [offending(words, p, d) if surest[d] >= 0.5 and model.usable else [] for d in range(part.num_rows)]
                     more.append(pa.array(found, arrow.field("spans").type))
