@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from kerbside.config import Events
 from kerbside.functions.geometry import angle_between, length
-from kerbside.operators.kinematics import TRACK
+from kerbside.operators.kinematics import track_window
 
 COLUMNS = ["event_type", "track_id", "other_id", "class_name", "start_s", "end_s", "start_frame", "end_frame", "severity", "confidence", "x", "y", "measure", "speed_kmh", "description"]
 
@@ -35,8 +35,8 @@ def braking(kin: DataFrame, c: Events = Events()) -> DataFrame:
     """Runs of two points or more at or below the threshold that a later point of the track ends."""
     hard = F.coalesce(F.col("accel"), F.lit(0.0)) <= c.brake_mps2
     flagged = kin.withColumn("hard", hard)
-    began = F.col("hard") & ~F.coalesce(F.lag("hard").over(TRACK), F.lit(False))
-    runs = flagged.withColumn("run", F.sum(began.cast("int")).over(TRACK)).withColumn("next", F.lead(F.struct("timestamp_s", "frame_id", "hard")).over(TRACK)).where("hard")
+    began = F.col("hard") & ~F.coalesce(F.lag("hard").over(track_window()), F.lit(False))
+    runs = flagged.withColumn("run", F.sum(began.cast("int")).over(track_window())).withColumn("next", F.lead(F.struct("timestamp_s", "frame_id", "hard")).over(track_window())).where("hard")
     g = runs.groupBy("track_id", "run").agg(
         F.min("class_name").alias("class_name"), F.count("*").alias("n"), F.min("accel").alias("measure"),
         F.min_by(F.struct("timestamp_s", "frame_id", "x", "y", "speed_kmh"), "frame_id").alias("s"), F.max_by("next", "frame_id").alias("e"),
@@ -62,7 +62,7 @@ def acceleration(kin: DataFrame, c: Events = Events()) -> DataFrame:
 def middle(points: DataFrame) -> DataFrame:
     """The point in the middle of each track (number n // 2, from 0)."""
     whole = Window.partitionBy("track_id")
-    k = points.select("track_id", "x", "y", (F.row_number().over(TRACK) - 1).alias("k"), F.count("*").over(whole).alias("n"))
+    k = points.select("track_id", "x", "y", (F.row_number().over(track_window()) - 1).alias("k"), F.count("*").over(whole).alias("n"))
     return k.where(F.col("k") == F.floor(F.col("n") / 2)).select("track_id", "x", "y")
 
 

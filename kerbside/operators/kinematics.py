@@ -13,19 +13,23 @@ from pyspark.sql.window import Window
 from kerbside.config import Motion, Quality
 from kerbside.functions.geometry import heading_deg, length, wrap_deg
 
-TRACK = Window.partitionBy("track_id").orderBy("frame_id")
+
+
+def track_window():
+    """A track's rows in frame order; made on use, as it needs a session."""
+    return Window.partitionBy("track_id").orderBy("frame_id")
 
 
 def _slope(value: str, c: Motion) -> Column:
     """Central difference inside a track, one-sided at its ends, 0 for a single point."""
-    after, before = (F.coalesce(f(value).over(TRACK), F.col(value)) for f in (F.lead, F.lag))
-    t1, t0 = (F.coalesce(f("timestamp_s").over(TRACK), F.col("timestamp_s")) for f in (F.lead, F.lag))
+    after, before = (F.coalesce(f(value).over(track_window()), F.col(value)) for f in (F.lead, F.lag))
+    t1, t0 = (F.coalesce(f("timestamp_s").over(track_window()), F.col("timestamp_s")) for f in (F.lead, F.lag))
     return (after - before) / F.greatest(F.lit(c.min_dt_s), t1 - t0)
 
 
 def _inner(difference: Column, c: Motion) -> Column:
     """A difference over the two neighbours, 0 where one of them is missing."""
-    dt = F.lead("timestamp_s").over(TRACK) - F.lag("timestamp_s").over(TRACK)
+    dt = F.lead("timestamp_s").over(track_window()) - F.lag("timestamp_s").over(track_window())
     return F.coalesce(difference / F.greatest(F.lit(c.min_dt_s), dt), F.lit(0.0))
 
 
@@ -36,8 +40,8 @@ def kinematics(points: DataFrame, c: Motion = Motion()) -> DataFrame:
     fast = moved.withColumns({"speed_mps": F.least(length(F.col("vx"), F.col("vy")), F.lit(c.max_speed_mps)), "heading_deg": heading_deg(F.col("vx"), F.col("vy"))})
     fast = fast.withColumn("speed_kmh", F.col("speed_mps") * 3.6)
     pushed = fast.withColumns({"accel": clip(_slope("speed_mps", c)), "ax": clip(_slope("vx", c)), "ay": clip(_slope("vy", c))})
-    turn = wrap_deg(F.lead("heading_deg").over(TRACK) - F.lag("heading_deg").over(TRACK))
-    jerk = F.lead("accel").over(TRACK) - F.lag("accel").over(TRACK)
+    turn = wrap_deg(F.lead("heading_deg").over(track_window()) - F.lag("heading_deg").over(track_window()))
+    jerk = F.lead("accel").over(track_window()) - F.lag("accel").over(track_window())
     return pushed.withColumns({"jerk": _inner(jerk, c), "omega": _inner(turn, c)})
 
 
@@ -46,7 +50,7 @@ def tracks(kin: DataFrame, q: Quality = Quality()) -> DataFrame:
 
     A track below ``min_length`` points gets score 0.2 and no measures, as nothing is derived from it.
     """
-    stepped = kin.withColumn("_step", length(F.col("x") - F.lag("x").over(TRACK), F.col("y") - F.lag("y").over(TRACK)))
+    stepped = kin.withColumn("_step", length(F.col("x") - F.lag("x").over(track_window()), F.col("y") - F.lag("y").over(track_window())))
     a = stepped.groupBy("track_id").agg(
         F.min("class_name").alias("class_name"), F.count("*").alias("n_points"),
         F.min("frame_id").alias("start_frame"), F.max("frame_id").alias("end_frame"),

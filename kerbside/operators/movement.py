@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.geometry import in_polygon, wrap_deg
-from kerbside.operators.kinematics import TRACK
+from kerbside.operators.kinematics import track_window
 
 
 def ends(points: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def movement_types(kin: DataFrame, tracks: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     whole = Window.partitionBy("track_id")
-    numbered = kin.select("track_id", "frame_id", "x", "y", F.row_number().over(TRACK).alias("k"), F.count("*").over(whole).alias("n"), wrap_deg(F.col("heading_deg") - F.lag("heading_deg").over(TRACK)).alias("dh"))
+    numbered = kin.select("track_id", "frame_id", "x", "y", F.row_number().over(track_window()).alias("k"), F.count("*").over(whole).alias("n"), wrap_deg(F.col("heading_deg") - F.lag("heading_deg").over(track_window())).alias("dh"))
     at = lambda cond, c: F.max(F.when(cond, F.col(c)))
     k, n = F.col("k"), F.col("n")
     spots = {"a": k == 1, "b": k == F.least(F.lit(6), n), "c": k == F.greatest(F.lit(1), n - 5), "d": k == n}

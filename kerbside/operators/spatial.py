@@ -92,6 +92,6 @@ def histogram(df: DataFrame, column: str, n: int = 40) -> DataFrame:
 
 def trails(points: DataFrame, n: int = 30) -> DataFrame:
     """The last n positions of each track up to each of its points."""
-    from kerbside.operators.kinematics import TRACK
+    from kerbside.operators.kinematics import track_window
 
-    return points.withColumn("trail", F.collect_list(F.struct("x", "y")).over(TRACK.rowsBetween(1 - n, 0)))
+    return points.withColumn("trail", F.collect_list(F.struct("x", "y")).over(track_window().rowsBetween(1 - n, 0)))

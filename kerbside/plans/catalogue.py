@@ -423,3 +423,138 @@ def boxes(spark, d):
         k.alias("det_id"), (k % 50).alias("frame_id"), ((k % 50) / 10.0).alias("timestamp_s"), x.alias("x1"), y.alias("y1"), (x + s).alias("x2"), (y + s).alias("y2"),
         ((k * 29) % 101 / 100.0).alias("confidence"), F.when(k % 2 == 0, "CAR").otherwise("PEDESTRIAN").alias("class_name"),
     )
+
+
+@query("slice_grid", "SELECT id, tx1, ty1, least(tx1 + 640, w) AS tx2, least(ty1 + 640, h) AS ty2 FROM (SELECT DISTINCT p_partkey AS id, 800 + p_size * 10 AS w, 600 + p_size * 5 AS h, greatest(0, least(i, 800 + p_size * 10 - 640)) AS tx1, greatest(0, least(j, 600 + p_size * 5 - 640)) AS ty1 FROM part, LATERAL (SELECT unnest(range(0, 800 + p_size * 10, 512)) AS i), LATERAL (SELECT unnest(range(0, 600 + p_size * 5, 512)) AS j))")
+def slice_grid(spark, d):
+    from kerbside.operators.detection import tiles
+
+    images = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.lit(800) + F.col("p_size") * 10).alias("width"), (F.lit(600) + F.col("p_size") * 5).alias("height"))
+    return tiles(images).select("id", *[F.col(c).cast("bigint").alias(c) for c in ("tx1", "ty1", "tx2", "ty2")])
+
+
+@query("nms")
+def nms(spark, d):
+    from kerbside.operators.detection import suppress
+
+    return suppress(boxes(spark, d))
+
+
+@query("nmm")
+def nmm(spark, d):
+    from kerbside.operators.detection import merge
+
+    return merge(boxes(spark, d))
+
+
+def _sources(spark, d):
+    return boxes(spark, d).withColumn("source_id", F.concat(F.lit("s"), (F.col("det_id") % 3).cast("string")))
+
+
+@query("track_bytetrack")
+def track_bytetrack(spark, d):
+    from kerbside.operators.tracking import track
+
+    return track(_sources(spark, d))
+
+
+@query("track_botsort")
+def track_botsort(spark, d):
+    from kerbside.operators.tracking import track
+
+    looks = table(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("det_id"), F.col("embedding").alias("look"))
+    return track(_sources(spark, d).join(looks, "det_id"), appearance=True)
+
+
+@query("kalman_smooth")
+def kalman_smooth(spark, d):
+    from kerbside.operators.smoothing import smooth
+
+    return rounded(smooth(points(spark, d), "kalman"))
+
+
+@query("savgol_smooth")
+def savgol_smooth(spark, d):
+    from kerbside.operators.smoothing import smooth
+
+    return rounded(smooth(points(spark, d), "savitzky_golay"))
+
+
+@query("build_trajectories")
+def build_trajectories(spark, d):
+    from kerbside.operators.smoothing import build_trajectories as build
+
+    p = points(spark, d)
+    obs = p.select("track_id", "frame_id", "timestamp_s", F.col("event_type").alias("class_name"), (F.col("x") - 2).alias("x1"), (F.col("y") - 1).alias("y1"), (F.col("x") + 2).alias("x2"), (F.col("y") + 1).alias("y2"))
+    return rounded(build(obs)[1])
+
+
+@query("lane_centerlines")
+def lane_centerlines(spark, d):
+    from kerbside.operators.camera import lane_lines
+
+    k = kin(spark, d)
+    return lane_lines(k, kinematics.tracks(k))
+
+
+@query("telemetry_asof", f"""WITH {Q.PTS}, r AS (SELECT track_id, timestamp_s AS t, x AS alt FROM pts WHERE event_type = 'view'), l AS (SELECT track_id, frame_id, timestamp_s AS t FROM pts WHERE event_type = 'click'),
+ b AS (SELECT l.*, r.t AS bt, r.alt AS ba FROM l ASOF LEFT JOIN r ON l.track_id = r.track_id AND l.t >= r.t), a AS (SELECT b.*, r.t AS nt, r.alt AS na FROM b ASOF LEFT JOIN r ON b.track_id = r.track_id AND b.t <= r.t)
+SELECT track_id, frame_id, round(CASE WHEN nt IS NULL OR (bt IS NOT NULL AND t - bt <= nt - t) THEN ba ELSE na END, 4) + 0.0 AS alt FROM a""")
+def telemetry_asof(spark, d):
+    from kerbside.sources.telemetry import nearest
+
+    p = points(spark, d)
+    left = p.where("event_type = 'click'").select("track_id", "frame_id", "timestamp_s")
+    right = p.where("event_type = 'view'").select("track_id", "timestamp_s", F.col("x").alias("alt"))
+    return rounded(nearest(left, right, "timestamp_s", ["track_id"], ["alt"]).select("track_id", "frame_id", "alt"))
+
+
+_AGENTS = ", ".join(map(str, [(1, "CAR", 100.0, 340.0), (2, "CAR", 40.0, 340.0), (3, "TRUCK", 620.0, 50.0), (4, "CAR", 1180.0, 380.0), (5, "PEDESTRIAN", 560.0, 460.0), (6, "MOTORCYCLE", 80.0, 300.0), (7, "LGV", 500.0, 340.0), (8, "CAR", 1100.0, 340.0)]))
+
+
+@query("scenario_points", f"""WITH a(track_id, class_name, x0, y0) AS (VALUES {_AGENTS}), s AS (SELECT a.*, CAST(f AS BIGINT) AS frame_id,
+ x0 + sum(CASE track_id WHEN 1 THEN 5.6 WHEN 2 THEN CASE WHEN f < 60 THEN 10.0 WHEN f < 80 THEN 1.0 ELSE 5.0 END WHEN 4 THEN CASE WHEN f < 90 THEN -6.0 WHEN f < 130 THEN -0.5 ELSE 0.0 END WHEN 6 THEN 8.0 WHEN 8 THEN -8.0 ELSE 0.0 END) OVER w AS px,
+ y0 + sum(CASE track_id WHEN 1 THEN 0.05 * sin(0.1 * f) WHEN 3 THEN 3.0 WHEN 4 THEN CASE WHEN f < 90 THEN 0.0 ELSE 6.0 END WHEN 5 THEN -1.5 WHEN 6 THEN CASE WHEN f BETWEEN 40 AND 100 THEN 1.5 ELSE 0.0 END ELSE 0.0 END) OVER w AS py
+ FROM a, range(300) r(f) WINDOW w AS (PARTITION BY track_id ORDER BY f))
+SELECT CAST(track_id AS BIGINT) AS track_id, class_name, frame_id, round(CAST((px + CASE WHEN track_id = 7 THEN 0 ELSE sin(0.2 * frame_id) END) * 0.05 AS DOUBLE), 4) + 0.0 AS x, round(CAST((py + CASE WHEN track_id = 7 THEN 0 ELSE cos(0.15 * frame_id) END) * 0.05 AS DOUBLE), 4) + 0.0 AS y FROM s WHERE px BETWEEN 0 AND 1280 AND py BETWEEN 0 AND 720""")
+def scenario_points(spark, d):
+    from kerbside.sources import scenario
+
+    return rounded(scenario.points(spark).select("track_id", "class_name", "frame_id", "x", "y"))
+
+
+@query("synthetic_telemetry", "SELECT round(f / 30.0, 4) + 0.0 AS timestamp_s, round(60 + 0.5 * sin(0.05 * f), 4) + 0.0 AS altitude_m, round(45 + 0.2 * cos(0.08 * f), 4) + 0.0 AS heading_deg FROM (SELECT CAST(i AS DOUBLE) AS f FROM range(300) t(i))")
+def synthetic_telemetry(spark, d):
+    from kerbside.sources.telemetry import synthetic
+
+    return rounded(synthetic(spark).select("timestamp_s", "altitude_m", "heading_deg"))
+
+
+def _stream(spark, d, name):
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parquet*")
+
+
+@query("stream_tumbling", "SELECT date_trunc('day', ts) AS window_start, ['CAR','LGV','HGV','BUS','TRUCK','MOTORCYCLE','PEDESTRIAN'][CAST(user_id % 7 AS INT) + 1] AS class_name, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark, d):
+    from kerbside.sources.points import CLASS_BY_RESIDUE
+    from kerbside.streaming import trajectory as T
+
+    e = _stream(spark, d, "events")
+    classes = F.array(*[F.lit(c) for c in CLASS_BY_RESIDUE])
+    p = e.select(F.col("user_id").alias("track_id"), F.get(classes, F.pmod("user_id", F.lit(7)).cast("int")).alias("class_name"), F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC").alias("ts"))
+    out = T.drain(T.flow(p, size="1 day", late="0 seconds"), "kerbside_tumbling", "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "class_name", "n")
+
+
+@query("stream_tracker")
+def stream_tracker(spark, d):
+    from kerbside.streaming import trajectory as T
+
+    p = _stream(spark, d, "part")
+    k = F.col("p_partkey")
+    x, y, s = ((k * 37) % 100).cast("double"), ((k * 53) % 100).cast("double"), F.col("p_size").cast("double")
+    dets = p.select(
+        k.alias("det_id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source_id"), (k % 50).alias("frame_id"), ((k % 50) / 10.0).alias("timestamp_s"), x.alias("x1"), y.alias("y1"),
+        (x + s).alias("x2"), (y + s).alias("y2"), ((k * 29) % 101 / 100.0).alias("confidence"), F.when(k % 2 == 0, "CAR").otherwise("PEDESTRIAN").alias("class_name"),
+    )
+    return T.drain(T.track(dets), "kerbside_tracker")
