@@ -47,3 +47,11 @@ def drop_materialised(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` returned."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         remove(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; it does so only after the driver has collected its garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
