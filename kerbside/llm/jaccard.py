@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from kerbside.llm.components import connected_components
 from kerbside.llm.textvec import BLANK_LOWER, U64, Words, mix, ngrams, slices
-from kerbside.storage import drop_materialised, materialise
+from kerbside.storage import drop_materialised, materialise, release
 
 K, PERCENT = 3, 90
 #: Counters of the sketch of word counts: its size, whatever the corpus has.
@@ -99,6 +99,8 @@ def _levels(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     counted = materialise(_sketch(texts, k), "sketch")
     mean = (counted.where("kind = 1").agg(F.sum("n")).first()[0] or 0) / (1 << SHINGLE_BITS)
     rows = counted.where((F.col("kind") == 0) | (F.col("n") > FREQUENT * mean)).toPandas()
+    drop_materialised(counted)
+    release(texts.sparkSession)
     word, shingle = np.zeros(1 << SKETCH_BITS, np.uint16), np.zeros(1 << SHINGLE_BITS, np.uint8)
     for kind, out, per, top in ((0, word, 6, 340), (1, shingle, 2, 63)):
         own = rows[rows["kind"] == kind]
@@ -288,6 +290,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     several = postings.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
     lists = materialise(postings.join(several.select("token", "first"), "token").dropDuplicates(["token", "v"]), "lists")
 
+    del several, postings
+    release(spark)
     # step 4: leaders
     leaders = lists.where("key = first").groupBy("token").agg(F.min("v").alias("v")).join(lists, ["token", "v"]).select("token", "v", "n", "pos")
     star = lists.alias("b").join(leaders.alias("a"), "token").where(F.col("a.v") != F.col("b.v")).where(_may_link(percent))
@@ -297,6 +301,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = materialise(_needed(texts, asked, levels, k, seed), "sets")
     answers = materialise(_verify(star, known), "answers")
     drop_materialised(known)
+    release(spark)
     edges = answers.where(_links(percent)).select("a", "b")
     component = connected_components(edges)
 
@@ -330,6 +335,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cannot = same & (F.abs(F.col("near_a.d") - F.col("near_b.d")) > limit + slack)
     must = same & (F.col("near_a.d") + F.col("near_b.d") < limit - slack)
     rest = materialise(rest.where(~cannot).select("a", "b", must.alias("must")), "rest")
+    drop_materialised(open_)
+    drop_materialised(lists)
+    release(spark)
     if not rest.isEmpty():
         unsure = rest.where("not must")
         asked = unsure.select(F.explode(F.array("a", "b")).alias("v")).distinct()
