@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.DIGEST_SQL,
+    "op7_jaccard_join": jaccard.DIGEST_SQL,
     "op9_mixing": mixing.DIGEST_SQL,
 }
