@@ -462,8 +462,12 @@ def track_bytetrack(spark, d):
 def track_botsort(spark, d):
     from kerbside.operators.tracking import track
 
-    looks = table(spark, d, "embeddings").select((F.col("vec_id") + 1).alias("det_id"), F.col("embedding").alias("look"))
-    return track(_sources(spark, d).join(looks, "det_id"), appearance=True)
+    # embeddings are dealt to the boxes in turn, as there are fewer of them
+    e = table(spark, d, "embeddings")
+    looks = e.select(F.col("vec_id").alias("_vec"), F.col("embedding").alias("look"))
+    n = e.agg(F.greatest(F.max("vec_id") + 1, F.lit(1)).alias("_n"))
+    found = _sources(spark, d).crossJoin(F.broadcast(n)).withColumn("_vec", F.pmod(F.col("det_id") - 1, F.col("_n")))
+    return track(found.join(looks, "_vec", "left").drop("_vec", "_n"), appearance=True)
 
 
 @query("kalman_smooth")

@@ -47,3 +47,14 @@ def test_whole_run(spark, tmp_path):
     assert "Road-user report" in (tmp_path / "reports/traffic_report.html").read_text()
     assert sinks.register_run(spark, str(tmp_path), ["tracks/tracks", "nope"]) == ["tracks/tracks"]
     assert spark.table("tracks_tracks").count() == 8
+
+
+def test_botsort_takes_all_boxes(spark, sf, tmp_path, monkeypatch):
+    from kerbside.operators import tracking
+
+    spark.read.parquet(f"{sf}/part.parquet").write.parquet(f"{tmp_path}/part.parquet")
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 7").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(tracking, "track", lambda found, **_: found)
+    rows = catalogue.QUERIES["track_botsort"](spark, str(tmp_path)).collect()
+    assert len(rows) == len({x.det_id for x in rows}) == spark.read.parquet(f"{sf}/part.parquet").count() > 7
+    assert all(x.look is not None for x in rows)
