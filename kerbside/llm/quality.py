@@ -15,8 +15,10 @@ entry backs off with its context's weight.
 
 A text that passes the base rules is kept if its log-perplexity lies within its
 language's band.  The bands are taken from the histogram of all such texts of the
-language: ``SPREAD`` times the distance from the median to the 5 % and 95 % points
-below and above it, and no narrower than ``LEAST`` on either side.
+language: ``SPREAD`` robust deviations below and above the median, and no narrower
+than ``LEAST`` on either side.  A side's deviation comes from the distance of the
+median to the quartile, which bad texts don't reach while less than a quarter of a
+language's texts lie on that side.
 
 Cases: null text has no words and fails the base rules, as does an empty one; a null
 language is a language of its own; rows that repeat an id are judged each by its own
@@ -40,6 +42,8 @@ from kerbside.storage import materialise
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
 SPREAD, LEAST = 3.0, 0.25
+#: Distance of a quartile from the median in standard deviations of a normal distribution.
+QUARTILE = 0.6745
 #: Steps of the histogram of log-perplexities.
 STEPS = 1000
 #: Bytes of models that are broadcast at once; languages beyond that are scored in further passes.
@@ -257,11 +261,11 @@ def bands(scored: DataFrame) -> DataFrame:
     order = Window.partitionBy("lang").orderBy("step")
     ranked = steps.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy("lang")))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("step"))) / F.lit(float(STEPS))
-    found = ranked.groupBy("lang").agg(at(0.05).alias("low"), at(0.5).alias("mid"), at(0.95).alias("high"))
+    found = ranked.groupBy("lang").agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"))
     return found.select(
         "lang",
-        (F.col("mid") - F.greatest(F.lit(LEAST), SPREAD * (F.col("mid") - F.col("low")))).alias("lower"),
-        (F.col("mid") + F.greatest(F.lit(LEAST), SPREAD * (F.col("high") - F.col("mid")))).alias("upper"),
+        (F.col("mid") - F.greatest(F.lit(LEAST), SPREAD / QUARTILE * (F.col("mid") - F.col("low")))).alias("lower"),
+        (F.col("mid") + F.greatest(F.lit(LEAST), SPREAD / QUARTILE * (F.col("high") - F.col("mid")))).alias("upper"),
     )
 
 

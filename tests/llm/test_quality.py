@@ -74,3 +74,15 @@ def test_query(spark, tmp_path):
     clean = [x for x in got if x.doc_id < 300 and not x.base_failed]
     assert np.mean([x.kept for x in clean]) > 0.98
     assert Q.quality(spark.read.parquet(f"{folder}/documents.parquet").limit(0)).count() == 0
+
+
+def test_bands_hold_against_junk(spark):
+    r = random.Random(3)
+    rows = []
+    for lang, percent in (("a", 3), ("b", 10), ("c", 20)):
+        bad = 20 * percent
+        rows += [(lang, r.gauss(1.9, 0.1), False) for _ in range(2000 - bad)] + [(lang, r.gauss(5.5, 0.2), True) for _ in range(bad)]
+    limits = {x.lang: (x.lower, x.upper) for x in Q.bands(spark.createDataFrame([x[:2] for x in rows], "lang string, log_ppl double")).collect()}
+    inside = [(bad, limits[lang][0] <= v <= limits[lang][1]) for lang, v, bad in rows]
+    assert not any(ok for bad, ok in inside if bad)
+    assert np.mean([ok for bad, ok in inside if not bad]) > 0.99
