@@ -8,6 +8,10 @@ A word that no pattern holds sends the automaton to its root, so only runs of
 pattern words that are long enough are fed to it; this skips most of a clean text
 and loses nothing.
 
+The automaton lies in each worker as a whole.  One automaton holds items of
+``BLOCK_CHARS`` characters together; a larger benchmark is cut into blocks, each with
+its own automaton and its own scan, and the hits are united, so no item is left out.
+
 Cases: a null or empty text has no words and no hits; a null or word-less item has
 no windows; an item without an id counts under the id ''; items that repeat an id
 count once; an empty items table leaves every document clean; further columns of
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import sha256
 
 import ahocorasick
 import numpy as np
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kerbside.llm.textvec import ALNUM, Words, slices
 
-#: Words of items in one automaton. More items are scanned for in further passes,
+#: Characters of items in one automaton. More items are scanned for in further passes,
 #: so that what is broadcast and what a worker builds stay bounded.
 BLOCK_CHARS = 2_000_000
 
@@ -90,12 +95,12 @@ class Matcher:
         return out
 
 
-_BUILT: dict[object, Matcher] = {}
+_BUILT: dict[tuple[str, int], Matcher] = {}
 
 
-def _matcher(items, window: int) -> Matcher:
-    """The automaton of a broadcast list, built once in each worker; only the latest is held."""
-    key = (items.id, window) if hasattr(items, "id") else id(items)
+def _matcher(items, content: str, window: int) -> Matcher:
+    """The automaton of a broadcast list, built once in each worker; only the latest is held. ``content`` tells lists apart."""
+    key = (content, window)
     if key not in _BUILT:
         _BUILT.clear()
         _BUILT[key] = Matcher(items.value, window)
@@ -113,7 +118,7 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan_block(docs: DataFrame, items, window: int, last: bool) -> DataFrame:
+def _scan_block(docs: DataFrame, items, content: str, window: int, last: bool) -> DataFrame:
     """One pass over the texts with one automaton; adds to the hits of earlier passes."""
     schema = docs.select("id", *([] if last else ["text"]), F.lit(0).cast("bigint").alias("n_words"), "hits", "items").schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -121,7 +126,7 @@ def _scan_block(docs: DataFrame, items, window: int, last: bool) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(items, window)
+        matcher = _matcher(items, content, window)
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"), ALNUM)
@@ -172,8 +177,9 @@ def contamination(
     for block in range(blocks):
         # at most about block_chars characters: the size was summed above
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
-        value = spark.sparkContext.broadcast([(r.i, r.t) for r in own])
-        out = _scan_block(out, value, window, block == blocks - 1)
+        listed = sorted((r.i, r.t) for r in own)
+        content = sha256(repr(listed).encode("utf-8", "surrogatepass")).hexdigest()
+        out = _scan_block(out, spark.sparkContext.broadcast(listed), content, window, block == blocks - 1)
     return out.withColumnRenamed("id", id_col)
 
 

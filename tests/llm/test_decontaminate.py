@@ -68,3 +68,12 @@ def test_empty_tables_and_filter(spark):
     assert D.decontaminate(d.limit(0), b).count() == 0
     hit = D.decontaminate(d, spark.createDataFrame([(1, "a b")], "item_id bigint, text string"))
     assert hit.columns == d.columns and sorted((r.doc_id, r.text) for r in hit.collect()) == [(1, "x y z"), (2, None)]
+
+
+def test_benchmarks_of_one_session_are_kept_apart(spark):
+    """Workers are used again; none may scan with the benchmark of an earlier call."""
+    d = documents(spark, [(k, f"start word{k} other{k} end") for k in range(12)])
+    for k in range(12):
+        b = spark.createDataFrame([(k, f"word{k} other{k}")], "item_id bigint, text string")
+        hit = D.contamination(d, b).where("size(hits) > 0").collect()
+        assert [(r.doc_id, r["items"]) for r in hit] == [(k, [str(k)])]
