@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.textvec import ALNUM, Words, slices
+from kerbside.llm.textvec import ALNUM, Words, map_batches, slices
 
 #: Characters of items in one automaton. More items are scanned for in further passes,
 #: so that what is broadcast and what a worker builds stay bounded.
@@ -147,7 +147,7 @@ def _scan_block(docs: DataFrame, items, content: str, window: int, last: bool) -
                     [c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, f.type) for f in arrow], schema=arrow
                 )
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def contamination(

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm.components import connected_components
-from kerbside.llm.textvec import BLANK_LOWER, U64, Words, mix, ngrams, slices
+from kerbside.llm.textvec import BLANK_LOWER, U64, Words, map_batches, mix, ngrams, slices
 from kerbside.storage import drop_materialised, materialise, release
 
 K, PERCENT = 3, 90
@@ -87,7 +87,7 @@ def _sketch(texts: DataFrame, k: int) -> DataFrame:
                 [pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["kind", "bucket", "n"]
             )
 
-    return texts.mapInArrow(run, "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    return map_batches(texts, run, "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
 
 
 def _levels(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +195,7 @@ def _prefixes(texts: DataFrame, levels, percent: int, k: int, seed: int) -> Data
                     names=["id", "n", "v", "check", "prefix", "digest"],
                 )
 
-    return texts.mapInArrow(run, schema)
+    return map_batches(texts, run, schema)
 
 
 def _needed(texts: DataFrame, wanted: DataFrame, levels, k: int, seed: int) -> DataFrame:
@@ -229,7 +229,7 @@ def _needed(texts: DataFrame, wanted: DataFrame, levels, k: int, seed: int) -> D
                     )
 
     flags_of = lambda x: x.value
-    found = texts.select("text").mapInArrow(run, "v bigint, tokens array<bigint>")
+    found = map_batches(texts.select("text"), run, "v bigint, tokens array<bigint>")
     return found.join(wanted.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("tokens").alias("tokens"))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.textvec import raw, slices
+from kerbside.llm.textvec import map_batches, raw, slices
 
 SAMPLE_ROWS = 2400
 SAMPLE_CHARS = 12_000_000
@@ -207,7 +207,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     [*(part.column(c).cast(arrow.field(c).type) for c in names), pa.array(langs, pa.string()), pa.array(np.where(known, sure, 0.0))], schema=arrow
                 )
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def digest(spark, sf_dir: str) -> DataFrame:

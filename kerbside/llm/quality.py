@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kerbside.llm.textvec import BLANK, Words, ngrams, slices
+from kerbside.llm.textvec import BLANK, Words, map_batches, ngrams, slices
 from kerbside.storage import materialise
 
 ORDER, BITS = 4, 6
@@ -103,7 +103,7 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         for lang, (codes, n) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
-    return rows.mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return map_batches(rows, run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -252,7 +252,7 @@ def _score(docs: DataFrame, models: dict[str, Model], metrics: bool) -> DataFram
                     names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"],
                 )
 
-    return docs.mapInArrow(run, f"id {kind}, lang string, {METRICS}, log_ppl double")
+    return map_batches(docs, run, f"id {kind}, lang string, {METRICS}, log_ppl double")
 
 
 def bands(scored: DataFrame) -> DataFrame:

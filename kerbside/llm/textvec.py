@@ -7,11 +7,13 @@ and never with a Python loop over words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are worked on at once; a longer text forms a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -40,6 +42,27 @@ BLANK_LOWER = _table(True, lambda c: c != 0x20 and not 0x09 <= c <= 0x0D)
 BLANK_LOWER[0] = 1
 
 
+def give_back() -> None:
+    """Return memory that this process has freed to the system; workers are used again by later jobs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose tasks return what memory they have freed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about ``limit`` bytes together."""
     n = batch.num_rows

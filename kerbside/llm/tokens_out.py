@@ -10,7 +10,8 @@ A file holds one or more segments, each of which can be read by itself::
 
     magic "KBTK", version, width, 2 zero bytes          8 bytes
     blocks of ids                                        as above, the last one padded to whole bytes
-    index: for each document  doc_id int64, n_tokens int64, little-endian
+    index: for each document  doc_id int64, n_tokens int64, little-endian; where there
+           is no id, 0 and the complement of n_tokens (-1 - n_tokens)
     trailer: bytes of blocks uint64, ids uint64, documents uint64, 8 bytes "KBTKEND\\0"
     line feed (0x0A), added by the writer
 
@@ -19,21 +20,22 @@ whole files only: a task that fails or runs twice leaves nothing behind.  The st
 can be any that Spark writes to.
 
 Texts are encoded with the tokenizers library.  A byte-level BPE never joins what a
-white-space character separates from the non-space before it, so a text is the
-concatenation of its chunks (white space and the non-space after it, letters also
-without the punctuation after them).  Chunks are encoded once each and kept in a
-bounded table, which spares the library the words it has seen.
+white-space character separates from the non-space before it, nor a letter and the
+punctuation after it, so a text is the concatenation of its chunks.  Chunks are found
+with numpy over the bytes of many texts; the ids of short ones lie in a table of fixed
+size that holds a chunk's bytes as well, so that what is found there is certain.  Only
+chunks that the table lacks go through the library.
 
 Cases: null and empty texts are the end id alone; rows that repeat an id lie next to
-each other, ordered by their text; null ids come first; an empty table writes no
-segment.  Other columns are not read.
+each other, ordered by the first characters of their text, then by its hash; null ids
+come first and are null when read back; ids have to be integers; an empty table writes
+no segment.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -44,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kerbside.llm.textvec import slices
+from kerbside.llm.textvec import U64, map_batches, mix, raw, slices
 from kerbside.storage import scratch
 
 #: Ids in a block; a multiple of 8, so that blocks of any width end at a byte.
@@ -52,19 +54,26 @@ BLOCK = 4096
 MAGIC, END = b"KBTK", b"KBTKEND\0"
 #: Characters of text for each file, about; a file is read back as a whole.
 FILE_CHARS = 48 << 20
-#: Characters of text for each segment, about; a segment is built in memory.
-SEGMENT_CHARS = 2 << 20
-#: Chunks whose ids are kept in a worker.
-CACHE = 250_000
+#: Bits of the number of places in a worker's table of chunks, 35 bytes each for a vocabulary below 2**16.
+TABLE_BITS = 21
+#: A chunk lies in the table if it has at most so many bytes and ids.
+SHORT, FEW = 16, 8
+#: Other chunks whose ids are kept in a worker.
+CACHE = 50_000
 #: Files up to which their offsets are broadcast (some 100 bytes each); more are joined by a shuffle.
 BROADCAST_FILES = 50_000
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 
-#: The characters with Unicode's White_Space property, which the tokenizer's pattern splits at.
-_SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word of letters that is followed by white space or common punctuation, or else all up to the next white space.
-_CHUNK = re.compile(f"[{_SPACE}]*[^\\W\\d_]+(?=[{_SPACE}.,;:!?]|$)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: Kinds of bytes: 1 white space, 2 letters, 3 punctuation that may follow a letter, 0 all others.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = 1
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 2
+_KIND[[ord(c) for c in ".,;:!?"]] = 3
+#: Whether a chunk begins at the second of two bytes of these kinds (first * 4 + second).
+_BEGINS = np.array([k // 4 != 1 and k % 4 == 1 or k == 2 * 4 + 3 for k in range(16)])
+#: Low bytes of a 64-bit number, by how many of them are kept.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def width_of(vocabulary: int) -> int:
@@ -112,64 +121,133 @@ def unpack(data, n: int, width: int, start: int = 0) -> np.ndarray:
     return out.ravel()[skip : skip + n]
 
 
-def _byte_letters() -> dict[int, int]:
-    """Code points by which a byte-level BPE writes bytes: printable ones themselves, the others from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+def _ends_in_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a white-space character beyond ASCII (Unicode's White_Space property) ends before each position."""
+    x, y, z = (data[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    two = (y == 0xC2) & ((x == 0x85) | (x == 0xA0))
+    e2 = (z == 0xE2) & ((y == 0x80) & ((x >= 0x80) & (x <= 0x8A) | (x == 0xA8) | (x == 0xA9) | (x == 0xAF)) | (y == 0x81) & (x == 0x9F))
+    return two | e2 | (z == 0xE1) & (y == 0x9A) & (x == 0x80) | (z == 0xE3) & (y == 0x80) & (x == 0x80)
 
 
-class Encoder:
-    """Encodes whole texts; keeps the ids of chunks it has seen.
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the chunks of all texts; a text that is not empty begins with one."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _KIND[data]
+    begins = np.zeros(n, bool)
+    begins[1:] = _BEGINS[kind[:-1] << 2 | kind[1:]]
+    begins[offsets[:-1][np.diff(offsets) > 0]] = False
+    at = np.flatnonzero(begins)
+    odd = at[(data[at - 1] >= 0x80) & (kind[at] == 1)]
+    begins[odd[_ends_in_space(data, odd)]] = False
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(begins)
 
-    Two generations of at most ``CACHE`` chunks: when the younger is full it replaces
-    the older, from which chunks that are still in use come back.
-    """
+
+class Encoder:
+    """Encodes whole texts; keeps the ids of chunks it has seen in tables of bounded size."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
-        self.letters = _byte_letters()
-        self.seen: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        rest, space = [], chr(self.letters[0x20])
-        for c in chunks:
-            # one space and letters: the tokenizer's pattern keeps them together, so its model gets them as they are
-            if (c[1:] if c[0] == " " else c).isalpha():
-                mapped = c.replace(" ", space) if c.isascii() else c.encode().decode("latin-1").translate(self.letters)
-                ids = [t.id for t in self.model.tokenize(mapped)]
-                self.seen[c] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                rest.append(c)
-        if rest:
-            got = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-            for c, e in zip(rest, got):
-                self.seen[c] = np.array(e.ids, np.uint32).tobytes()
+        # a byte-level token has a character for each of its bytes; added tokens stand for themselves
+        self.bytes = np.zeros(self.size, np.int64)
+        added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        for token, i in self.tokenizer.get_vocab(True).items():
+            self.bytes[i] = len(added[i].encode()) if i in added else len(token)
+        places = 1 << TABLE_BITS
+        self.head, self.tail = np.zeros(places, U64), np.zeros(places, U64)
+        self.length, self.count, self.used = (np.zeros(places, np.uint8) for _ in range(3))
+        self.ids = np.zeros((places, FEW), np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.others: dict[bytes, np.ndarray] = {}
+
+    def _plain(self, pieces: list[bytes]) -> list[np.ndarray]:
+        got = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in got]
+
+    def _ids(self, pieces: list[bytes]) -> dict[bytes, np.ndarray]:
+        """The ids of chunks; most are encoded as one text, whose ids are cut by the bytes that each stands for."""
+        # a line feed of its own keeps a chunk without leading space from the one before it
+        apart = [p if p[0] in b" \t\n\x0b\x0c\r" else b"\n" + p for p in pieces]
+        joins = [not (p[-1] in b" \t\n\x0b\x0c\r" or p[-1] >= 0x80 and p[-3:].decode("utf-8", "ignore")[-1:].isspace()) for p in pieces]
+        own = [p for p, j in zip(pieces, joins) if j]
+        joined = [q for q, j in zip(apart, joins) if j]
+        out = dict(zip(rest := [p for p, j in zip(pieces, joins) if not j], self._plain(rest)))
+        if own:
+            (ids,) = self._plain([b"".join(joined)])
+            ends = np.cumsum(self.bytes[ids])
+            bound = np.concatenate(([0], np.cumsum([len(q) for q in joined])))
+            at = np.searchsorted(ends, bound[:-1], side="right")
+            if len(ends) and ends[-1] == bound[-1] and np.array_equal((ends - self.bytes[ids])[at], bound[:-1]):
+                at += [len(q) > len(p) for p, q in zip(own, joined)]
+                cut = np.append(np.searchsorted(ends, bound[1:-1], side="right"), len(ids))
+                out.update(zip(own, (ids[a:b] for a, b in zip(at.tolist(), cut.tolist()))))
+            else:  # bytes that are no UTF-8
+                out.update(zip(own, self._plain(own)))
+        return out
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and their number for each text; null is empty, ``end`` is put after each."""
+        data, offsets = raw(texts)
+        starts = chunk_starts(data, offsets)
+        length = np.diff(np.append(starts, len(data)))
+        padded = np.zeros(len(data) + SHORT, np.uint8)
+        padded[: len(data)] = data
+        eight = np.ndarray((len(data) + 8,), "<u8", padded, strides=(1,))
+        head = eight[starts] & _LOW[np.minimum(length, 8)]
+        tail = eight[np.minimum(starts + 8, len(data))] & _LOW[np.clip(length - 8, 0, 8)]
+        place = (mix(head * U64(0x9E3779B97F4A7C15) + tail * U64(0xC2B2AE3D27D4EB4F) + length.astype(U64)) >> U64(64 - TABLE_BITS)).astype(np.int64)
+        known = (self.head[place] == head) & (self.tail[place] == tail) & (self.length[place] == length)
+        self.used[place[known]] = 1
+        missing = np.flatnonzero(~known)
+        pieces = [padded[a : a + k].tobytes() for a, k in zip(starts[missing].tolist(), length[missing].tolist())]
+        new = self._ids([p for p in dict.fromkeys(pieces) if p not in self.others])
+        found = [new[p] if p in new else self.others[p] for p in pieces]
+        counts = np.zeros(len(starts), np.int64)
+        counts[known] = self.count[place[known]]
+        counts[missing] = [len(f) for f in found]
+        # the ids of each chunk one after the other, from the table and then those that were missing
+        total, at = int(counts.sum()), np.cumsum(counts) - counts
+        source = np.repeat(place * FEW - at, counts)
+        source += np.arange(total)
+        ids = self.ids.ravel().take(source, mode="wrap").astype(np.uint32)
+        if found:
+            size = counts[missing]
+            ids[np.repeat(at[missing] - (np.cumsum(size) - size), size) + np.arange(size.sum())] = np.concatenate(found)
+        self._keep(missing, place, head, tail, length, counts, at, ids)
+        long = {p: f.copy() for p, f in new.items() if len(p) > SHORT or len(f) > FEW}
+        self.others = long if len(self.others) + len(long) > CACHE else self.others | long
+        upto = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, offsets)]
+        per_text = np.diff(upto)
+        if end is None:
+            return ids, per_text
+        per_text += 1
+        out = np.full(total + len(texts), end, np.uint32)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(per_text) - 1] = False
+        out[inner] = ids
+        return out, per_text
+
+    def _keep(self, missing, place, head, tail, length, counts, at, out) -> None:
+        """Put short chunks that were missing into the table; a place whose chunk was in use since it was last asked for stays."""
+        fits = missing[(length[missing] <= SHORT) & (counts[missing] <= FEW)]
+        fits = fits[np.unique(place[fits], return_index=True)[1]]  # one chunk for a place
+        free = self.used[place[fits]] == 0
+        self.used[place[fits[~free]]] = 0
+        fits = fits[free]
+        p = place[fits]
+        self.head[p], self.tail[p], self.length[p], self.count[p] = head[fits], tail[fits], length[fits], counts[fits]
+        for j in range(FEW):
+            has = fits[counts[fits] > j]
+            self.ids[place[has], j] = out[at[has] + j]
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        chunks = _CHUNK.findall(text)
-        try:
-            return b"".join([self.seen[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(self.seen) > CACHE:
-            self.old, self.seen = self.seen, {}
-        new = []
-        for c in dict.fromkeys(chunks):
-            if c not in self.seen:
-                if (ids := self.old.get(c)) is None:
-                    new.append(c)
-                else:
-                    self.seen[c] = ids
-        self._learn(new)
-        return b"".join([self.seen[c] for c in chunks])
+        return self.encode(pa.array([text], pa.large_string()))[0].astype("<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -181,13 +259,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def segment(docs: list[tuple[int | None, bytes]], width: int) -> bytes:
-    """The bytes of a segment of documents (id, ids as 32-bit integers)."""
-    blocks = pack(np.frombuffer(b"".join(d for _, d in docs), "<u4"), width)
-    index = np.array([(0 if i is None else i, len(d) // 4) for i, d in docs], "<i8").tobytes()
-    total = sum(len(d) // 4 for _, d in docs)
+def segment(names: list[int | None], ids: np.ndarray, counts: np.ndarray, width: int) -> bytes:
+    """The bytes of a segment of documents: their names, all their ids and how many each has."""
+    blocks = pack(ids, width)
+    index = np.array([(0, -1 - n) if i is None else (i, n) for i, n in zip(names, counts.tolist())], "<i8").tobytes()
     head = MAGIC + struct.pack("<BBH", 1, width, 0)
-    return head + blocks + index + struct.pack("<QQQ", len(blocks), total, len(docs)) + END
+    return head + blocks + index + struct.pack("<QQQ", len(blocks), len(ids), len(names)) + END
 
 
 def segments(data) -> Iterator[tuple[memoryview, np.ndarray, int, int]]:
@@ -216,33 +293,26 @@ def write_tokens(
         import public_tokenizers
 
         vocabulary = public_tokenizers.path(VOCABULARY)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} has to be an integer")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = rows.agg(F.coalesce(F.sum(F.length("text") + F.lit(64)), F.lit(0))).first()[0]
     files = max(1, math.ceil(chars / file_chars))
-    ordered = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
+    # rows of one id can lie in several files, copies of one row too
+    spread = F.struct("id", F.substring("text", 1, 16), F.xxhash64("text"))
+    ordered = rows.withColumn("order", spread).repartitionByRange(files, "order", F.monotonically_increasing_id()).sortWithinPartitions("order").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary), np.array([end_id], np.uint32).tobytes()
+        encode = encoder(vocabulary)
         width = width_of(max(encode.size, end_id + 1))
-        held: list[tuple[int | None, bytes]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([segment(held, width)], pa.binary())], names=["value"])
-
         for batch in batches:
             for part in slices(batch, "text"):
-                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                    held.append((i, encode(text) + end))
-                    size += len(text) + 64
-                    if size >= SEGMENT_CHARS:
-                        yield flush()
-                        held, size = [], 0
-        if held:
-            yield flush()
+                ids, counts = encode.encode(part.column("text"), end_id)
+                value = segment(part.column("id").to_pylist(), ids, counts, width)
+                yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], names=["value"])
 
     # the text writer puts out the bytes of a string as they are, and a line feed after each row
-    ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path)
+    map_batches(ordered, run, "value binary").select(F.col("value").cast("string")).write.text(path)
 
 
 def _files(spark, path: str) -> DataFrame:
@@ -263,26 +333,26 @@ def read_tokens(spark, path: str) -> DataFrame:
             for base, data in zip(batch.column("base").to_pylist(), batch.column("content")):
                 at = base
                 for blocks, index, total, width in segments(data.as_buffer()):
-                    n = index[:, 1]
+                    n = np.where(index[:, 1] < 0, -1 - index[:, 1], index[:, 1])
                     begin = np.cumsum(n) - n
                     ids = unpack(blocks, total, width)
                     crc = [zlib.crc32(ids[a : a + k].astype("<u4").tobytes()) for a, k in zip(begin.tolist(), n.tolist())]
                     offsets = np.concatenate((begin, [total])).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(index[:, 0]), pa.array(begin + at), pa.array(n), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))],
+                        [pa.array(index[:, 0], mask=index[:, 1] < 0), pa.array(begin + at), pa.array(n), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))],
                         names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
                     at += total
 
     files = _files(spark, path)
-    sizes = files.select("path", "content").mapInArrow(totals, "path string, n bigint")
+    sizes = map_batches(files.select("path", "content"), totals, "path string, n bigint")
     # one row for each file: their names carry the number of the partition, which is in order of the ids
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if len(files.inputFiles()) <= BROADCAST_FILES:
         bases = F.broadcast(bases)
     placed = files.select("path", "content").join(bases, "path").select("base", "content")
-    return placed.mapInArrow(documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return map_batches(placed, documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, **options) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.textvec import ALNUM, BASE, U64, Words, mix, ngrams, slices
+from kerbside.llm.textvec import ALNUM, BASE, U64, Words, map_batches, mix, ngrams, slices
 
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 6_000_000
@@ -338,7 +338,7 @@ def score_documents(docs: DataFrame, field: Field, text_col: str = "text", spans
                     more.append(pa.array(found, arrow.field("spans").type))
                 yield pa.RecordBatch.from_arrays([*(part.column(c).cast(arrow.field(c).type) for c in names), *more], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.textvec import slices
+from kerbside.llm.textvec import map_batches, slices
 
 #: Words whose counts a worker keeps.
 CACHE = 500_000
@@ -162,7 +162,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_words bigint, n_tokens bigint, n_unknown bigint").withColumnRenamed("id", id_col)
+    return map_batches(rows, run, f"id {kind}, n_words bigint, n_tokens bigint, n_unknown bigint").withColumnRenamed("id", id_col)
 
 
 def digest(spark, sf_dir: str) -> DataFrame:

@@ -57,3 +57,33 @@ def test_round_trip(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     d = documents(spark, [(1, "a")]).limit(0)
     assert T.encode_documents(d, str(tmp_path / "none")).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Null ids are null when read back; rows and copies of one id may lie in several files, in one order."""
+    docs = [(None, "none"), (None, None), (0, "zero"), (-3, "minus")] + [(7, f"text {k % 5}") for k in range(60)]
+    d = documents(spark, docs)
+    T.write_tokens(d, str(tmp_path / "out"), file_chars=600)
+    plain = Tokenizer.from_file(public_tokenizers.path(T.VOCABULARY))
+    got = sorted(T.read_tokens(spark, str(tmp_path / "out")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -3, 0] + [7] * 60
+    key = lambda t: plain.encode(t or "", add_special_tokens=False).ids + [T.END_ID]
+    assert [r.ids for r in got[4:]] == sorted([key(t) for i, t in docs if i == 7], key=lambda k: [r.ids for r in got[4:]].index(k))
+    assert sorted([r.ids for r in got[:2]]) == sorted([key("none"), key(None)])
+    assert len({r.input_file for r in spark.read.format("binaryFile").load(str(tmp_path / "out" / "part-*")).selectExpr("path as input_file").collect()}) > 3
+    with pytest.raises(ValueError):
+        T.write_tokens(d.withColumn("doc_id", d.doc_id.cast("string")), str(tmp_path / "no"))
+
+
+def test_small_tables_of_chunks(monkeypatch):
+    """Chunks that meet in a place of the table, or leave it, are still encoded right."""
+    monkeypatch.setattr(T, "TABLE_BITS", 3)
+    monkeypatch.setattr(T, "CACHE", 5)
+    encode, plain = T.Encoder(public_tokenizers.path(T.VOCABULARY)), Tokenizer.from_file(public_tokenizers.path(T.VOCABULARY))
+    words = texts() + ["a" * 40 + " b", "supercalifragilistic", "qzxj" * 9]
+    for _ in range(2):
+        for k in range(0, len(words), 50):
+            ids, counts = encode.encode(T.pa.array(words[k : k + 50] + [None, ""], T.pa.large_string()), 2)
+            at = np.cumsum(counts) - counts
+            for t, a, n in zip(words[k : k + 50] + [None, ""], at.tolist(), counts.tolist()):
+                assert ids[a : a + n].tolist() == plain.encode(t or "", add_special_tokens=False).ids + [2], repr(t)
