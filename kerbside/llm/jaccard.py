@@ -32,6 +32,9 @@ No link is lost: the first common token of two sets that link lies in the prefix
 of both and passes the tests of step 5; pairs skipped in steps 4 to 6 either cannot
 link or are connected already.
 
+A token holds 50 bits of a shingle's hash: two of m shingles of a pair of sets share
+one by chance with odds of about m**2 / 2**51, and a set's size is then one less.
+
 Cases: null, empty and word-less texts have the empty set and are linked with
 nothing; fewer than ``k`` words form one shingle; rows that repeat an id are
 members of each other's component only by their texts; ties in rarity are broken
@@ -48,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm.components import connected_components
-from kerbside.llm.textvec import BLANK_LOWER, U64, Words, map_batches, mix, ngrams, slices
+from kerbside.llm.textvec import BLANK_LOWER, U64, Words, map_batches, mix, ngrams, row_key, slices
 from kerbside.storage import drop_materialised, materialise, release
 
 K, PERCENT = 3, 90
@@ -186,7 +189,7 @@ def _prefixes(texts: DataFrame, levels, percent: int, k: int, seed: int) -> Data
                     if x in seen:
                         take[d] = 0
                     seen.add(x)
-                if len(seen) > 2_000_000:
+                if len(seen) > 250_000:
                     seen.clear()  # only spares repeats
                 at = np.repeat(bounds[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())
                 digests = _digests(tokens, bounds, np.flatnonzero(take))
@@ -220,7 +223,7 @@ def _needed(texts: DataFrame, wanted: DataFrame, levels, k: int, seed: int) -> D
                 b = np.where(b > 0, b - 1, 0)  # 0 shares the flag of 1
                 ask = (flags_of(shared)[b >> 3] >> (b & 7)) & 1
                 keep = [d for d, x in enumerate(v.tolist()) if (ask[d] or v[d] & U64((1 << FILTER_BITS) - 1) == 0) and bounds[d + 1] > bounds[d] and not (x in seen or seen.add(x))]
-                if len(seen) > 2_000_000:
+                if len(seen) > 250_000:
                     seen.clear()
                 if keep:
                     parts = [tokens[bounds[d] : bounds[d + 1]] for d in keep]
@@ -362,12 +365,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component: the one with the smallest id, with all its columns.
 
-    Documents without words are linked with nothing and stay.  Of rows that share
-    both id and text one stays.
+    Documents without words are linked with nothing and stay.  Rows are told apart by
+    id and text: of rows that share both one stays, and of rows that share only the id
+    each is judged by its text.
     """
-    found = jaccard_components(docs, id_col, text_col, **options)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col, text_col])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    found = jaccard_components(rows, "key", "text", **options)
+    kept = found.where(F.col("component_id").eqNullSafe(F.col("key"))).select("key").distinct()
+    return rows.select("row", "key").dropDuplicates(["key"]).join(kept, "key", "left_semi").select("row.*")
 
 
 def digest(spark, sf_dir: str) -> DataFrame:

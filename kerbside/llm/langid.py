@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.textvec import map_batches, raw, slices
+from kerbside.llm.textvec import as_rows, from_rows, map_batches, raw, slices
 
 SAMPLE_ROWS = 2400
 SAMPLE_CHARS = 12_000_000
@@ -186,32 +186,37 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
     return np.array([t is not None and any(c.isalpha() for c in t) for t in texts.to_pylist()], bool)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights for each pair of languages of a family
+def identify_rows(rows: DataFrame, model: Model) -> DataFrame:
+    """``row``, ``lang_pred`` and ``score`` for each (row, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # FEATURES weights for each pair of languages of a family
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    schema = StructType([*docs.schema.fields, *_parse_datatype_string("lang_pred string, score double").fields])
-    arrow, names = to_arrow_schema(schema), docs.columns
+    schema = StructType([rows.schema["row"], *_parse_datatype_string("lang_pred string, score double").fields])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
-                texts = part.column(text_col)
+            for part in slices(batch, "text", 1 << 20):
+                texts = part.column("text")
                 known = _has_letter(texts) if m.langs else np.zeros(len(texts), bool)
                 langs, sure = m.predict(texts) if known.any() else (["und"] * len(texts), np.zeros(len(texts)))
                 langs = [x if k else "und" for x, k in zip(langs, known.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).cast(arrow.field(c).type) for c in names), pa.array(langs, pa.string()), pa.array(np.where(known, sure, 0.0))], schema=arrow
+                    [part.column("row").cast(arrow.field("row").type), pa.array(langs, pa.string()), pa.array(np.where(known, sure, 0.0))], schema=arrow
                 )
 
-    return map_batches(docs, run, schema)
+    return map_batches(rows, run, schema)
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
+    return from_rows(identify_rows(as_rows(docs, text_col), model), ["lang_pred", "score"])
 
 
 def digest(spark, sf_dir: str) -> DataFrame:
     """Query op8 over the whole ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    found = identify(docs.select("doc_id", "text"), train(docs))
+    found = identify_rows(docs.select(F.col("doc_id").alias("row"), "text"), train(docs)).withColumnRenamed("row", "doc_id")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

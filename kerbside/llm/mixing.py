@@ -12,7 +12,7 @@ and all others share what is left.
 
 Cases: null text has size 0; a source of size 0 has target 0, rate 0 and none of
 its documents is taken; rows that repeat an id draw the same number; an empty
-table gives an empty result; a further column is kept by ``mix``.
+table gives an empty result; further columns, of any name, are kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -69,28 +69,27 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``."""
-    sized = docs.withColumn("_size", size_of(text_col))
-    sums = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size"))
-    goal = targets(sums, **options).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    joined = sized.join(goal, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+    """Each row of ``docs`` as the struct ``row``, its ``size``, ``source_size``, ``target`` and ``copies``."""
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_col).alias("size"))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = targets(sums, **options).withColumnRenamed("source", "name")
+    joined = sized.join(goal, F.col("source").eqNullSafe(F.col("name")), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    return joined.withColumn("_copies", (whole + (uniform(id_col) < rate - whole).cast("bigint")).cast("int"))
+    return joined.select("row", "size", "source_size", "target", (whole + (uniform("id") < rate - whole).cast("bigint")).cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """Each document as often as its source's rate says, with all columns of ``docs``."""
-    chosen = plan(docs, **options).where("_copies > 0")
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    chosen = plan(docs, **options).where("copies > 0")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def digest(spark, sf_dir: str) -> DataFrame:
     """Query op9 over the whole ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return plan(docs).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-        (F.col("_copies") * F.col("_size")).cast("bigint").alias("taken"),
+        "row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"),
     )
 
 

@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a longer text forms a slice of its own.
 SLICE_BYTES = 2 << 20
@@ -63,6 +64,23 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(task, schema)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart by id and text (128 bits of its hash), in order of the id; never null itself."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.struct(F.col(id_col).alias("id"), F.col(text_col).isNull().alias("none"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("row"), text).alias("h2"))
+
+
+def as_rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """``row``, all columns of any name in one struct, and ``text``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+
+
+def from_rows(found: DataFrame, added: list[str]) -> DataFrame:
+    """The columns of ``row`` and those of ``added``, which replace columns of the same name."""
+    names = [f.name for f in found.schema["row"].dataType.fields if f.name not in added]
+    return found.select(*[F.col(f"row.`{c}`") for c in names], *added)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts have about ``limit`` bytes together."""
     n = batch.num_rows

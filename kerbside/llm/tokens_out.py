@@ -54,8 +54,10 @@ BLOCK = 4096
 MAGIC, END = b"KBTK", b"KBTKEND\0"
 #: Characters of text for each file, about; a file is read back as a whole.
 FILE_CHARS = 48 << 20
+#: Bytes of text for each segment, about; a segment is built in memory.
+SEGMENT_BYTES = 1 << 20
 #: Bits of the number of places in a worker's table of chunks, 35 bytes each for a vocabulary below 2**16.
-TABLE_BITS = 21
+TABLE_BITS = 20
 #: A chunk lies in the table if it has at most so many bytes and ids.
 SHORT, FEW = 16, 8
 #: Other chunks whose ids are kept in a worker.
@@ -306,7 +308,7 @@ def write_tokens(
         encode = encoder(vocabulary)
         width = width_of(max(encode.size, end_id + 1))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SEGMENT_BYTES):
                 ids, counts = encode.encode(part.column("text"), end_id)
                 value = segment(part.column("id").to_pylist(), ids, counts, width)
                 yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], names=["value"])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.textvec import ALNUM, BASE, U64, Words, map_batches, mix, ngrams, slices
+from kerbside.llm.textvec import ALNUM, BASE, U64, Words, as_rows, from_rows, map_batches, mix, ngrams, slices
 
 SAMPLE_ROWS = 2500
 SAMPLE_CHARS = 6_000_000
@@ -304,15 +304,15 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: i
     return [r.text for r in got], np.array([r.toxic > 0 for r in got], bool)
 
 
-def score_documents(docs: DataFrame, field: Field, text_col: str = "text", spans: bool = True) -> DataFrame:
-    """``docs`` with ``score`` and, if asked, ``spans`` (code points, end exclusive; marginal) added."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # 6 * 2**18 weights of 4 bytes
+def score_rows(rows: DataFrame, field: Field, spans: bool = True) -> DataFrame:
+    """``row``, ``score`` and, if asked, ``spans`` (code points, end exclusive; marginal) for each (row, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(field)  # 6 * 2**18 weights of 4 bytes
     added = "score double, spans array<struct<start:bigint,end:bigint,marginal:double>>" if spans else "score double"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    schema = StructType([*docs.schema.fields, *_parse_datatype_string(added).fields])
-    arrow, names = to_arrow_schema(schema), docs.columns
+    schema = StructType([rows.schema["row"], *_parse_datatype_string(added).fields])
+    arrow = to_arrow_schema(schema)
 
     def offending(words: Words, p: np.ndarray, doc: int) -> list[dict]:
         base, end = int(words.first[doc]), int(words.first[doc + 1])
@@ -328,17 +328,22 @@ def score_documents(docs: DataFrame, field: Field, text_col: str = "text", spans
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, text_col):
-                words = Words(part.column(text_col), ALNUM)
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"), ALNUM)
                 p, _ = forward_backward(model.emissions(features(words)), _starts(words), model)
                 score, surest = document_scores(words, p)
                 more = [pa.array(score if model.usable else np.zeros(len(score)))]
                 if spans:
                     found = [offending(words, p, d) if surest[d] >= 0.5 and model.usable else [] for d in range(part.num_rows)]
                     more.append(pa.array(found, arrow.field("spans").type))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).cast(arrow.field(c).type) for c in names), *more], schema=arrow)
+                yield pa.RecordBatch.from_arrays([part.column("row").cast(arrow.field("row").type), *more], schema=arrow)
+
+    return map_batches(rows, run, schema)
 
-    return map_batches(docs, run, schema)
+
+def score_documents(docs: DataFrame, field: Field, text_col: str = "text", spans: bool = True) -> DataFrame:
+    """``docs`` with ``score`` and, if asked, ``spans``; columns of these names are replaced."""
+    return from_rows(score_rows(as_rows(docs, text_col), field, spans), ["score", "spans"][: 1 + spans])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -348,12 +353,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below one half, with all their columns."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
-    return score_documents(rows, train(*sample(docs, labels)), spans=False).where("score < 0.5").select("row.*")
+    return score_rows(as_rows(docs, "text"), train(*sample(docs, labels)), spans=False).where("score < 0.5").select("row.*")
 
 
 def digest(spark, sf_dir: str) -> DataFrame:
     """Query op2 over the whole ``documents``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = toxicity(docs.select("doc_id", "text"), labels)
+    scored = score_rows(docs.select(F.col("doc_id").alias("row"), "text"), train(*sample(docs, labels))).withColumnRenamed("row", "doc_id")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))

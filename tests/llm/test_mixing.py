@@ -44,7 +44,7 @@ def test_mix_keeps_columns_and_repeats(spark):
     d = documents(spark, [(k, "a b c") for k in range(40)] + [(1, None), (1, "a b c")])
     out = M.mix(d)
     assert out.columns == d.columns
-    plan = {(x.doc_id, x.text): x._copies for x in M.plan(d).collect()}
+    plan = {(x.row.doc_id, x.row.text): x.copies for x in M.plan(d).collect()}
     seen = {}
     for x in out.collect():
         seen[x.doc_id, x.text] = seen.get((x.doc_id, x.text), 0) + 1
