@@ -57,7 +57,7 @@ QUARTILE = 0.6745
 #: Steps of the histogram of log-perplexities.
 STEPS = 1000
 #: Bytes of models that are broadcast at once, at 12 an entry; parts beyond that are used in further passes.
-MODEL_BYTES = 128 << 20
+MODEL_BYTES = 64 << 20
 #: Bytes of text of which n-grams are counted at once.
 COUNT_BYTES = 4 << 20
 
@@ -194,15 +194,29 @@ class Table:
         return out
 
 
+def keyed(entries: DataFrame) -> DataFrame:
+    """(is_weight, key, value) of the rows of ``kneser_ney``: 12 bytes an entry are what scoring needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model, length, code = (np.asarray(batch.column(c)).astype(np.int64) for c in ("model", "length", "code"))
+            value = np.asarray(batch.column("value"))
+            yield pa.RecordBatch.from_arrays([batch.column("is_weight"), pa.array(keys(model, length, code).view(np.int64)), pa.array(value.astype(np.float32))], names=["is_weight", "key", "value"])
+
+    flat = entries.select(F.col("log_w").isNotNull().alias("is_weight"), "model", "length", "code", F.coalesce("log_p", "log_w").alias("value"))
+    return map_batches(flat, run, "is_weight boolean, key bigint, value float")
+
+
 class Model:
-    """The arrays of all models, or of one part of them."""
+    """The arrays of all models (their numbers in ``known``), or of one part of them, from the rows of ``keyed``."""
 
-    def __init__(self, model: np.ndarray, length: np.ndarray, code: np.ndarray, log_p: np.ndarray, log_w: np.ndarray):
-        self.known = np.unique(model)
+    def __init__(self, table: pa.Table, known: list[int]):
+        self.known = np.array(sorted(known), np.int64)
+        role = table.column("is_weight").to_numpy()
         self.tables = []
-        for value in (log_p, log_w):
-            own = ~np.isnan(value)
-            self.tables.append(Table(keys(model[own], length[own], code[own]), value[own]))
+        for weights in (False, True):
+            own = role == weights
+            self.tables.append(Table(table.column("key").to_numpy()[own].view(U64), table.column("value").to_numpy()[own]))
 
     def log_probabilities(self, models: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The log-probability of the last symbol of each code by its model."""
@@ -330,12 +344,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     for part in range(parts):
         # at most about model_bytes: entries were counted above. Single symbols and the empty context are in every part
         own = entries.where((F.col("length") <= F.when(F.col("log_p").isNotNull(), 1).otherwise(0)) | (part_of(F.col("model"), F.when(F.col("log_p").isNotNull(), F.col("code")).otherwise(F.shiftleft("code", BITS)), parts) == part)) if parts > 1 else entries
-        table = own.toArrow()
-        columns = [table.column(c).to_numpy() for c in ("model", "length", "code", "log_p", "log_w")]
-        model = Model(*(np.asarray(c, np.float64 if c.dtype == object else None) for c in columns))
-        model.known = np.array(sorted(known), np.int64)
-        del table, columns
-        scored = _score(scored, spark.sparkContext.broadcast(model), part, parts)
+        scored = _score(scored, spark.sparkContext.broadcast(Model(keyed(own).toArrow(), known)), part, parts)
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     judged = F.col("judge").isin(sorted(known)) if known else F.lit(False)
     log_ppl = F.when(judged & (F.col("symbols") > 0), -F.col("total") / F.col("symbols"))

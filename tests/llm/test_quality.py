@@ -75,10 +75,9 @@ def log_probability(p, text):
     return [np.log(p(tuple(s[k : k + Q.ORDER]))) for k in range(len(s) - Q.ORDER + 1)]
 
 
-def model_of(spark, texts, parts=1):
+def model_of(spark, texts):
     rows = spark.createDataFrame([(6, t) for t in texts], "model int, text string")
-    table = Q.kneser_ney(Q.count_ngrams(rows)).toPandas()
-    return Q.Model(*(table[c].to_numpy(np.float64 if c.startswith("log") else np.int64) for c in ("model", "length", "code", "log_p", "log_w")))
+    return Q.Model(Q.keyed(Q.kneser_ney(Q.count_ngrams(rows))).toArrow(), [6])
 
 
 def test_model_against_definition(spark):
