@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="kerbside-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
