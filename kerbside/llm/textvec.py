@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a longer text forms a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch; the JVM holds some for each task, outside its heap.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes whose powers are held at once while hashing.
 HASH_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -53,7 +56,10 @@ def give_back() -> None:
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` whose tasks return what memory they have freed."""
+    """``mapInArrow`` whose tasks return what memory they have freed, over batches of ``BATCH_BYTES`` unless the session names another size than Spark's."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) in (None, "64m", "64MB", "67108864b", "67108864"):
+        conf.set(_BATCH, BATCH_BYTES)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

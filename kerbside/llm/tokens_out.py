@@ -60,6 +60,8 @@ SEGMENT_BYTES = 1 << 20
 TABLE_BITS = 20
 #: A chunk lies in the table if it has at most so many bytes and ids.
 SHORT, FEW = 16, 8
+#: Chunks that go to the library at once; it takes about a kilobyte for each.
+AT_ONCE = 16_000
 #: Other chunks whose ids are kept in a worker.
 CACHE = 50_000
 #: Files up to which their offsets are broadcast (some 100 bytes each); more are joined by a shuffle.
@@ -179,19 +181,22 @@ class Encoder:
         own = [p for p, j in zip(pieces, joins) if j]
         joined = [q for q, j in zip(apart, joins) if j]
         out = dict(zip(rest := [p for p, j in zip(pieces, joins) if not j], self._plain(rest)))
-        if own:
-            (ids,) = self._plain([b"".join(joined)])
-            ends = np.cumsum(self.bytes[ids])
-            bound = np.concatenate(([0], np.cumsum([len(q) for q in joined])))
-            at = np.searchsorted(ends, bound[:-1], side="right")
-            if len(ends) and ends[-1] == bound[-1] and np.array_equal((ends - self.bytes[ids])[at], bound[:-1]):
-                at += [len(q) > len(p) for p, q in zip(own, joined)]
-                cut = np.append(np.searchsorted(ends, bound[1:-1], side="right"), len(ids))
-                out.update(zip(own, (ids[a:b] for a, b in zip(at.tolist(), cut.tolist()))))
-            else:  # bytes that are no UTF-8
-                out.update(zip(own, self._plain(own)))
+        for k in range(0, len(own), AT_ONCE):
+            out.update(self._joined(own[k : k + AT_ONCE], joined[k : k + AT_ONCE]))
         return out
 
+    def _joined(self, own: list[bytes], joined: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
+        """Chunks and their ids, from one text of all of them."""
+        (ids,) = self._plain([b"".join(joined)])
+        ends = np.cumsum(self.bytes[ids])
+        bound = np.concatenate(([0], np.cumsum([len(q) for q in joined])))
+        at = np.searchsorted(ends, bound[:-1], side="right")
+        if not len(ends) or ends[-1] != bound[-1] or not np.array_equal((ends - self.bytes[ids])[at], bound[:-1]):
+            return zip(own, self._plain(own))  # bytes that are no UTF-8
+        at += [len(q) > len(p) for p, q in zip(own, joined)]
+        cut = np.append(np.searchsorted(ends, bound[1:-1], side="right"), len(ids))
+        return zip(own, (ids[a:b] for a, b in zip(at.tolist(), cut.tolist())))
+
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and their number for each text; null is empty, ``end`` is put after each."""
         data, offsets = raw(texts)
