@@ -154,12 +154,10 @@ def zone_visits(spark, d):
     return movement.in_zone(p, movement.auto_zones(p))
 
 
-@query("polygon_entry_exit", f"WITH {Q.ZON} SELECT track_id, CASE WHEN x0 > 0 AND y0 > 0 AND x0 + y0 < 60 THEN 'Triangle' END AS origin_zone, CASE WHEN x1 > 0 AND y1 > 0 AND x1 + y1 < 60 THEN 'Triangle' END AS destination_zone FROM ends WHERE x0 > 0 AND x1 > 0 AND y0 > 0 AND y1 > 0")
+@query("polygon_entry_exit", f"WITH {Q.ZON} SELECT track_id, CASE WHEN x0 >= 0 AND y0 >= 0 AND x0 + y0 < 60 THEN 'Triangle' END AS origin_zone, CASE WHEN x1 >= 0 AND y1 >= 0 AND x1 + y1 < 60 THEN 'Triangle' END AS destination_zone FROM ends")
 def polygon_entry_exit(spark, d):
-    p = points(spark, d)
-    inner = movement.ends(p).where("x0 > 0 and x1 > 0 and y0 > 0 and y1 > 0").select("track_id")
-    zones = movement.polygon_zones(spark, [("Triangle", [(0, 0), (60, 0), (0, 60)])])
-    return movement.entry_exit(p, zones).join(inner, "track_id")
+    """The even-odd rule of ``in_polygon`` counts the left and lower edges of this triangle as inside, its slope as outside."""
+    return movement.entry_exit(points(spark, d), movement.polygon_zones(spark, [("Triangle", [(0, 0), (60, 0), (0, 60)])]))
 
 
 @query("movement_types", f"WITH {Q.ZON} SELECT * FROM mov")
@@ -333,12 +331,12 @@ def overlay_trails(spark, d):
 _SECTORS = ", ".join(f"count(*) FILTER (heading_deg >= {45 * k} AND heading_deg < {45 * k + 45}) AS s{k}" for k in range(8))
 _ENTROPY = " + ".join(f"CASE WHEN s{k} > 0 THEN -(s{k} / CAST(n AS DOUBLE)) * ln(s{k} / CAST(n AS DOUBLE)) ELSE 0.0 END" for k in range(8))
 _FTR = Q.KIN + f""", f0 AS (SELECT track_id, count(*) AS n, max(timestamp_s) - min(timestamp_s) AS duration_s, sum(step) AS path, first(x ORDER BY frame_id) AS start_x, first(y ORDER BY frame_id) AS start_y, last(x ORDER BY frame_id) AS end_x, last(y ORDER BY frame_id) AS end_y,
- avg(speed_mps) AS speed_mean, quantile_cont(speed_mps, 0.5) AS speed_median, stddev_pop(speed_mps) AS speed_std, max(speed_mps) AS speed_max, quantile_cont(speed_mps, 0.85) AS speed_p85, avg(accel) AS accel_mean, greatest(max(accel), 0.0) AS accel_max, least(min(accel), 0.0) AS accel_min,
- avg(abs(jerk)) AS jerk_mean, avg(jerk * jerk) AS jerk_energy, sum(abs(dh)) AS turn, avg(abs(omega)) AS omega_mean, max(abs(omega)) AS omega_max, count(*) FILTER (speed_mps < 0.8) / CAST(count(*) AS DOUBLE) AS dwell_ratio, {_SECTORS} FROM kin GROUP BY track_id),
- f1 AS (SELECT f0.*, sqrt(power(end_x - start_x, 2) + power(end_y - start_y, 2)) AS net_m, m2, m3, m4 FROM f0 JOIN (SELECT track_id, avg(power(accel - a, 2)) AS m2, avg(power(accel - a, 3)) AS m3, avg(power(accel - a, 4)) AS m4 FROM kin JOIN (SELECT track_id, avg(accel) AS a FROM kin GROUP BY 1) USING (track_id) GROUP BY 1) USING (track_id)),
- f2 AS (SELECT *, greatest(1e-3, CASE WHEN path > 0 THEN path ELSE net_m END) AS path_m FROM f1),
- ftr AS (SELECT track_id, n, duration_s, path_m, net_m, path_m / greatest(1e-3, net_m) AS tortuosity, speed_mean, speed_median, speed_std, speed_max, speed_p85, accel_mean, accel_max, accel_min, CASE WHEN n > 3 AND speed_std > 1e-4 AND m2 > 0 THEN m3 / power(m2, 1.5) ELSE 0.0 END AS accel_skew,
- CASE WHEN n > 3 AND speed_std > 1e-4 AND m2 > 0 THEN m4 / (m2 * m2) - 3.0 ELSE 0.0 END AS accel_kurtosis, jerk_mean, jerk_energy, CASE WHEN n > 2 THEN turn ELSE 0.0 END AS turn_total, omega_mean, omega_max, CASE WHEN n > 2 THEN {_ENTROPY} ELSE 0.0 END AS heading_entropy, dwell_ratio, start_x, start_y, end_x, end_y FROM f2)"""
+ avg(speed_mps) AS mean_speed_mps, quantile_cont(speed_mps, 0.5) AS median_speed_mps, stddev_pop(speed_mps) AS std_speed_mps, max(speed_mps) AS max_speed_mps, quantile_cont(speed_mps, 0.85) AS p85_speed_mps, avg(accel) AS mean_accel_mps2, greatest(max(accel), 0.0) AS max_accel_mps2, least(min(accel), 0.0) AS max_decel_mps2,
+ avg(abs(jerk)) AS mean_jerk_mps3, avg(jerk * jerk) AS jerk_energy, sum(abs(dh)) AS turn, avg(abs(omega)) AS mean_angular_velocity_degps, max(abs(omega)) AS max_angular_velocity_degps, count(*) FILTER (speed_mps < 0.8) / CAST(count(*) AS DOUBLE) AS dwell_time_ratio, {_SECTORS} FROM kin GROUP BY track_id),
+ f1 AS (SELECT f0.*, sqrt(power(end_x - start_x, 2) + power(end_y - start_y, 2)) AS net_displacement_m, m2, m3, m4 FROM f0 JOIN (SELECT track_id, avg(power(accel - a, 2)) AS m2, avg(power(accel - a, 3)) AS m3, avg(power(accel - a, 4)) AS m4 FROM kin JOIN (SELECT track_id, avg(accel) AS a FROM kin GROUP BY 1) USING (track_id) GROUP BY 1) USING (track_id)),
+ f2 AS (SELECT *, greatest(1e-3, CASE WHEN path > 0 THEN path ELSE net_displacement_m END) AS total_distance_m FROM f1),
+ ftr AS (SELECT track_id, n, duration_s, total_distance_m, net_displacement_m, total_distance_m / greatest(1e-3, net_displacement_m) AS tortuosity_ratio, mean_speed_mps, median_speed_mps, std_speed_mps, max_speed_mps, p85_speed_mps, mean_accel_mps2, max_accel_mps2, max_decel_mps2, CASE WHEN n > 3 AND std_speed_mps > 1e-4 AND m2 > 0 THEN m3 / power(m2, 1.5) ELSE 0.0 END AS accel_skewness,
+ CASE WHEN n > 3 AND std_speed_mps > 1e-4 AND m2 > 0 THEN m4 / (m2 * m2) - 3.0 ELSE 0.0 END AS accel_kurtosis, mean_jerk_mps3, jerk_energy, CASE WHEN n > 2 THEN turn ELSE 0.0 END AS total_turning_angle_deg, mean_angular_velocity_degps, max_angular_velocity_degps, CASE WHEN n > 2 THEN {_ENTROPY} ELSE 0.0 END AS heading_entropy, dwell_time_ratio, start_x, start_y, end_x, end_y FROM f2)"""
 
 
 def track_features(spark, d):
@@ -350,9 +348,9 @@ def traj_features(spark, d):
     return rounded(track_features(spark, d), 3)
 
 
-@query("feature_scale", f"WITH {_FTR} SELECT track_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN stddev_pop({c}) OVER () ELSE 1.0 END, 3) AS {c}" for c in features.FEATURES[:12]) + " FROM ftr")
+@query("feature_scale", f"WITH {_FTR} SELECT track_id, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN stddev_pop({c}) OVER () ELSE 1.0 END, 3) AS {c}" for c in features.FEATURES) + " FROM ftr")
 def feature_scale(spark, d):
-    return rounded(features.scaled(track_features(spark, d), features.FEATURES[:12]), 3)
+    return rounded(features.scaled(track_features(spark, d)), 3)
 
 
 def _vectors(spark, d):
@@ -373,13 +371,13 @@ def cosine_distance(spark, d):
     return rounded(features.cosine_pairs(v.where("id % 50 = 0"), v))
 
 
-@query("dbscan_labels", f"""WITH RECURSIVE {Q.PTS}, p AS (SELECT track_id, frame_id, x, y FROM pts WHERE frame_id < 200), nb AS (SELECT a.frame_id, a.track_id AS a, b.track_id AS b FROM p a JOIN p b ON a.frame_id = b.frame_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 10.0),
+@query("dbscan_labels", f"""WITH RECURSIVE {Q.PTS}, p AS (SELECT track_id, frame_id, x, y FROM pts), nb AS (SELECT a.frame_id, a.track_id AS a, b.track_id AS b FROM p a JOIN p b ON a.frame_id = b.frame_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 10.0),
  core AS (SELECT frame_id, a FROM nb GROUP BY 1, 2 HAVING count(*) >= 3), cc AS (SELECT n.* FROM nb n JOIN core c ON n.frame_id = c.frame_id AND n.a = c.a JOIN core e ON n.frame_id = e.frame_id AND n.b = e.a),
  reach(frame_id, a, b) AS (SELECT * FROM cc UNION SELECT r.frame_id, r.a, c.b FROM reach r JOIN cc c ON r.frame_id = c.frame_id AND r.b = c.a), lab AS (SELECT frame_id, a, min(b) AS c FROM reach GROUP BY 1, 2),
  bor AS (SELECT n.frame_id, n.a, min(l.c) AS c FROM nb n JOIN lab l ON n.frame_id = l.frame_id AND n.b = l.a GROUP BY 1, 2)
 SELECT p.frame_id, p.track_id, coalesce(lab.c, bor.c) AS cluster FROM p LEFT JOIN lab ON p.frame_id = lab.frame_id AND p.track_id = lab.a LEFT JOIN bor ON p.frame_id = bor.frame_id AND p.track_id = bor.a""")
 def dbscan_labels(spark, d):
-    p = points(spark, d).where("frame_id < 200").select("frame_id", "track_id", "x", "y", F.struct("frame_id", "track_id").alias("id"))
+    p = points(spark, d).select("frame_id", "track_id", "x", "y", F.struct("frame_id", "track_id").alias("id"))
     return clusters.dbscan(p, 10.0, 3, ["frame_id"]).select("frame_id", "track_id", F.col("cluster.track_id").alias("cluster"))
 
 

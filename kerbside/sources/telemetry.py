@@ -14,14 +14,19 @@ ALIASES = {
     "gimbal_roll_deg": ["gimbal_roll_deg", "gimbal_roll", "roll"], "gimbal_yaw_deg": ["gimbal_yaw_deg", "gimbal_yaw"],
     "camera_fov_deg": ["camera_fov_deg", "fov"], "drone_speed_mps": ["drone_speed_mps", "drone_speed", "speed"],
 }
+#: Where files of comma-separated values prefer other names.
+CSV_ALIASES = ALIASES | {
+    "latitude": ["lat", "latitude"], "longitude": ["lon", "longitude", "lng"], "gimbal_pitch_deg": ["pitch", "gimbal_pitch", "gimbal_pitch_deg"],
+    "gimbal_roll_deg": ["roll", "gimbal_roll", "gimbal_roll_deg"], "drone_speed_mps": ["speed", "drone_speed", "drone_speed_mps"],
+}
 #: Seconds between records of files without times.
 STEP_S = 0.0333
 
 
-def _resolve(df: DataFrame) -> DataFrame:
+def _resolve(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
     """Columns by their aliases; a file without times gets them from its order (files are read as one partition each)."""
     names = {c.strip().lower().replace(" ", "_"): c for c in df.columns}
-    pick = lambda field: [F.expr(f"try_cast(`{names[a]}` as double)") for a in ALIASES[field] if a in names]
+    pick = lambda field: [F.expr(f"try_cast(`{names[a]}` as double)") for a in aliases[field] if a in names]
     out = df.withColumn("_k", F.monotonically_increasing_id())
     place = F.row_number().over(Window.orderBy("_k")) - 1 if not pick("timestamp_s") else F.lit(0)
     fields = {f: (F.coalesce(*pick(f)) if pick(f) else F.lit(None).cast("double")) for f in ALIASES}
@@ -31,7 +36,7 @@ def _resolve(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _resolve(spark.read.csv(path, header=True))
+    return _resolve(spark.read.csv(path, header=True), CSV_ALIASES)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -195,3 +195,17 @@ def test_queues_of_one(spark, scene):
     k, _ = scene
     q = clusters.queues(k, from_dict({"speed_kmh": 10.0, "gap_m": 20.0, "min_vehicles": 1}, Config().queue))
     assert q.count() > 0
+
+
+def test_built_in_labels(spark):
+    from kerbside.functions.safety import map_class
+
+    want = {"Minivan": "LGV", "pickup": "LGV", " trailer": "HGV", "lorry": "HGV", "person": "PEDESTRIAN", "bicycle": "MOTORCYCLE", "motorbike": "MOTORCYCLE", "tram": "UNKNOWN"}
+    got = spark.createDataFrame([(k,) for k in want], "label string").select("label", map_class(F.col("label")).alias("c")).collect()
+    assert {r["label"]: r["c"] for r in got} == want
+
+
+def test_csv_prefers_short_names(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("time,latitude,lat,gimbal_pitch,pitch\n0.5,1,2,-80,-70\n")
+    row = telemetry.read(spark, str(tmp_path / "t.csv")).first()
+    assert (row.latitude, row.gimbal_pitch_deg) == (2.0, -70.0)
