@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from kerbside.config import Events
 from kerbside.functions.geometry import angle_between, length
+from kerbside.operators import interactions
 from kerbside.operators.kinematics import track_window
 
 COLUMNS = ["event_type", "track_id", "other_id", "class_name", "start_s", "end_s", "start_frame", "end_frame", "severity", "confidence", "x", "y", "measure", "speed_kmh", "description"]
@@ -170,3 +171,17 @@ def detect_all(kin: DataFrame, tracks: DataFrame, c: Events = Events(), isolate:
             continue
         out = found if out is None else out.unionByName(found)
     return out
+
+
+#: Prefixes of event ids by type; other types take their own name.
+PREFIXES = {
+    "SUDDEN_BRAKING": "BRAKE_", "SUDDEN_ACCELERATION": "ACCEL_", "STOPPED_VEHICLE": "STOP_", "WRONG_WAY": "WRONGWAY_", "CUT_IN": "CUTIN_",
+    "PEDESTRIAN_VEHICLE_CONFLICT": "VRU_", "UNSUPERVISED_TRAJECTORY_ANOMALY": "ANOMALY_",
+}
+
+
+def with_ids(happened: DataFrame) -> DataFrame:
+    """Events with an ``event_id``, numbered within their type by first frame, road users and last frame."""
+    known = F.create_map(*[F.lit(x) for pair in PREFIXES.items() for x in pair])
+    prefix = F.coalesce(known[F.col("event_type")], F.concat("event_type", F.lit("_")))
+    return interactions.named(happened, prefix, ["start_frame", "track_id", "other_id", "end_frame"], ["event_type"]).select("event_id", *happened.columns)

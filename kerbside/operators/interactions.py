@@ -60,10 +60,11 @@ def conflicts(kin: DataFrame, c: Conflict = Conflict()) -> DataFrame:
     )
 
 
-def named(df: DataFrame, prefix: str, order: list[str]) -> DataFrame:
+def named(df: DataFrame, prefix: str | Column, order: list[str], by: list[str] | None = None) -> DataFrame:
     """Adds ``event_id``: the prefix and the number of the row in a total order, five digits at least.
 
-    Numbers follow from counts by range: rows are range-partitioned by the order, each
+    Numbers start anew for each value of ``by``, of which there have to be few.  They
+    follow from counts by range: rows are range-partitioned by the order, each
     partition numbers its own, and the offset of a partition is the sum of those before
     it.  No task sees more than its range.
     """
@@ -71,14 +72,17 @@ def named(df: DataFrame, prefix: str, order: list[str]) -> DataFrame:
 
     from kerbside.storage import materialise
 
-    ranged = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()), "numbered")
-    own = Window.partitionBy("_p").orderBy(*order)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each partition
-    numbered = ranged.withColumn("_k", F.row_number().over(own)).join(F.broadcast(offsets), "_p")
+    by = by or []
+    keys = [*by, *order]
+    ranged = materialise(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()), "numbered")
+    own = Window.partitionBy("_p", *by).orderBy(*order)
+    sizes = ranged.groupBy("_p", *by).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each partition and group
+    numbered = ranged.withColumn("_k", F.row_number().over(own)).join(F.broadcast(offsets), ["_p", *by])
     digits = (F.col("_before") + F.col("_k")).cast("string")
-    return numbered.withColumn("event_id", F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), F.lit("0")))).drop("_p", "_k", "_before")
+    prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
+    return numbered.withColumn("event_id", F.concat(prefix, F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), F.lit("0")))).drop("_p", "_k", "_before")
 
 
 def pet_pairs(points: DataFrame, cell: float = 2.0, limit: float = 5.0) -> DataFrame:

@@ -209,3 +209,16 @@ def test_csv_prefers_short_names(spark, tmp_path):
     (tmp_path / "t.csv").write_text("time,latitude,lat,gimbal_pitch,pitch\n0.5,1,2,-80,-70\n")
     row = telemetry.read(spark, str(tmp_path / "t.csv")).first()
     assert (row.latitude, row.gimbal_pitch_deg) == (2.0, -70.0)
+
+
+def test_event_ids_count_within_their_type(spark):
+    from kerbside.operators import events
+
+    rows = [("CUT_IN", 7, 1, None, 9), ("CUT_IN", 3, 2, None, 9), ("CUT_IN", 3, 1, None, 9), ("PEDESTRIAN_VEHICLE_CONFLICT", 1, 5, 6, 2), ("OWN", 1, 1, None, 1)]
+    df = spark.createDataFrame(rows, "event_type string, start_frame long, track_id long, other_id long, end_frame long")
+    got = {(x.event_type, x.start_frame, x.track_id): x.event_id for x in events.with_ids(df.repartition(4)).collect()}
+    assert got == {
+        ("CUT_IN", 3, 1): "CUTIN_00001", ("CUT_IN", 3, 2): "CUTIN_00002", ("CUT_IN", 7, 1): "CUTIN_00003",
+        ("PEDESTRIAN_VEHICLE_CONFLICT", 1, 5): "VRU_00001", ("OWN", 1, 1): "OWN_00001",
+    }
+    assert events.with_ids(df.limit(0)).columns == ["event_id", *df.columns] and events.with_ids(df.limit(0)).isEmpty()
