@@ -222,3 +222,18 @@ def test_event_ids_count_within_their_type(spark):
         ("PEDESTRIAN_VEHICLE_CONFLICT", 1, 5): "VRU_00001", ("OWN", 1, 1): "OWN_00001",
     }
     assert events.with_ids(df.limit(0)).columns == ["event_id", *df.columns] and events.with_ids(df.limit(0)).isEmpty()
+
+
+def test_angles_follow_sql_to_the_last_bit(spark):
+    import duckdb
+
+    from kerbside.plans import sql
+
+    below = [a - k * 2.0**-e for a in (0.0, 45.0, 90.0, 180.0, 270.0) for k in (-1, 0, 1, 2) for e in (44, 47, 50)]
+    rows = [(a, d, x, y) for a, (d, x, y) in zip(below, [(180 - 2.0**-44, 1.0, 1.0 - 2.0**-52), (-180.0, 1.0 - 2.0**-52, 1.0), (180.0, -1.0, 2.0**-52), (179.99999999999994, 1.0, -(2.0**-50))] * 15)]
+    got = spark.createDataFrame(rows, "a double, d double, x double, y double").select(G.wrap_deg(F.col("a")), G.wrap_deg(F.col("d")), G.heading_deg(F.col("x"), F.col("y"))).collect()
+    con = duckdb.connect()
+    con.execute("create table t (a double, d double, x double, y double)")
+    con.executemany("insert into t values (?, ?, ?, ?)", rows)
+    want = con.execute(f"select {sql.wrap('a')}, {sql.wrap('d')}, ((degrees(atan2(y, x)) + 360.0) % 360.0 + 360.0) % 360.0 from t").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
