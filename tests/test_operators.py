@@ -237,3 +237,21 @@ def test_angles_follow_sql_to_the_last_bit(spark):
     con.executemany("insert into t values (?, ?, ?, ?)", rows)
     want = con.execute(f"select {sql.wrap('a')}, {sql.wrap('d')}, ((degrees(atan2(y, x)) + 360.0) % 360.0 + 360.0) % 360.0 from t").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_suppression_of_a_crowded_frame_holds_no_square_of_it(monkeypatch):
+    largest = []
+    plain = detection.overlaps
+    monkeypatch.setattr(detection, "overlaps", lambda a, b: largest.append(len(a) * len(b)) or plain(a, b))
+    rng = np.random.default_rng(3)
+    boxes = np.round(rng.uniform(0, 60, (3000, 2)), 0)
+    boxes = np.hstack([boxes, boxes + np.round(rng.uniform(0, 40, (3000, 2)), 0)])
+    groups = dict(detection._groups(boxes, 0.5))
+    assert max(largest) <= 3000
+    o = plain(boxes, boxes) >= 0.5
+    keep = np.ones(3000, bool)
+    for k in range(3000):
+        if keep[k]:
+            keep[k + 1 :] &= ~o[k, k + 1 :]
+    assert list(groups) == np.flatnonzero(keep).tolist()
+    assert sorted(i for g in groups.values() for i in g.tolist()) == list(range(3000))
