@@ -52,16 +52,16 @@ from kerbside.storage import scratch
 #: Ids in a block; a multiple of 8, so that blocks of any width end at a byte.
 BLOCK = 4096
 MAGIC, END = b"KBTK", b"KBTKEND\0"
-#: Characters of text for each file, about; a file is read back as a whole.
-FILE_CHARS = 48 << 20
+#: Characters of text for each file, about; a task sorts those of one file, and a file is read back as a whole.
+FILE_CHARS = 16 << 20
 #: Bytes of text for each segment, about; a segment is built in memory.
 SEGMENT_BYTES = 1 << 20
 #: Bits of the number of places in a worker's table of chunks, 35 bytes each for a vocabulary below 2**16.
-TABLE_BITS = 20
+TABLE_BITS = 19
 #: A chunk lies in the table if it has at most so many bytes and ids.
 SHORT, FEW = 16, 8
 #: Chunks that go to the library at once; it takes about a kilobyte for each.
-AT_ONCE = 16_000
+AT_ONCE = 8_000
 #: Other chunks whose ids are kept in a worker.
 CACHE = 50_000
 #: Files up to which their offsets are broadcast (some 100 bytes each); more are joined by a shuffle.
@@ -326,8 +326,8 @@ def _files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``, ``ids`` of all documents in the files of ``path``."""
+def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and, if asked, ``ids`` of all documents in the files of ``path``."""
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,11 +344,11 @@ def read_tokens(spark, path: str) -> DataFrame:
                     begin = np.cumsum(n) - n
                     ids = unpack(blocks, total, width)
                     crc = [zlib.crc32(ids[a : a + k].astype("<u4").tobytes()) for a, k in zip(begin.tolist(), n.tolist())]
-                    offsets = np.concatenate((begin, [total])).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(index[:, 0], mask=index[:, 1] < 0), pa.array(begin + at), pa.array(n), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
+                    columns = {"doc_id": pa.array(index[:, 0], mask=index[:, 1] < 0), "start": pa.array(begin + at), "n_tokens": pa.array(n), "ids_crc32": pa.array(crc, pa.int64())}
+                    if with_ids:
+                        offsets = np.concatenate((begin, [total])).astype(np.int32)
+                        columns["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.view(np.int32)))
+                    yield pa.RecordBatch.from_pydict(columns)
                     at += total
 
     files = _files(spark, path)
@@ -359,14 +359,14 @@ def read_tokens(spark, path: str) -> DataFrame:
     if len(files.inputFiles()) <= BROADCAST_FILES:
         bases = F.broadcast(bases)
     placed = files.select("path", "content").join(bases, "path").select("base", "content")
-    return map_batches(placed, documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return map_batches(placed, documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write ``docs`` to token files (a new scratch folder unless named) and return what is read back, without the ids."""
     path = path or scratch(docs.sparkSession, "tokens")
     write_tokens(docs, path, **options)
-    return read_tokens(docs.sparkSession, path).drop("ids")
+    return read_tokens(docs.sparkSession, path, with_ids=False)
 
 
 def digest(spark, sf_dir: str) -> DataFrame:

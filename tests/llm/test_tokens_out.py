@@ -87,3 +87,14 @@ def test_small_tables_of_chunks(monkeypatch):
             at = np.cumsum(counts) - counts
             for t, a, n in zip(words[k : k + 50] + [None, ""], at.tolist(), counts.tolist()):
                 assert ids[a : a + n].tolist() == plain.encode(t or "", add_special_tokens=False).ids + [2], repr(t)
+
+
+def test_digests_are_read_without_the_ids(spark, tmp_path, monkeypatch):
+    """What the query and the pipeline read back holds no ids from the start: they are not sent through the JVM to be dropped there."""
+    d = documents(spark, [(k, f"text {k}") for k in range(20)])
+    asked = []
+    plain = T.read_tokens
+    monkeypatch.setattr(T, "read_tokens", lambda *a, **k: asked.append(plain(*a, **k)) or asked[-1])
+    got = T.encode_documents(d, str(tmp_path / "out"))
+    assert "ids" not in asked[0].columns
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r)[:4] for r in plain(spark, str(tmp_path / "out")).collect())
