@@ -49,6 +49,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kerbside.llm.components import connected_components
 from kerbside.llm.textvec import BLANK_LOWER, U64, Words, map_batches, mix, ngrams, row_key, slices
@@ -101,13 +102,16 @@ def _levels(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """
     counted = materialise(_sketch(texts, k), "sketch")
     mean = (counted.where("kind = 1").agg(F.sum("n")).first()[0] or 0) / (1 << SHINGLE_BITS)
-    rows = counted.where((F.col("kind") == 0) | (F.col("n") > FREQUENT * mean)).toPandas()
+    # Arrow: a row object for each bucket would take hundreds of MB of the driver
+    rows = counted.where((F.col("kind") == 0) | (F.col("n") > FREQUENT * mean)).toArrow()
     drop_materialised(counted)
-    release(texts.sparkSession)
+    kinds, buckets, n = (rows.column(c).to_numpy() for c in ("kind", "bucket", "n"))
     word, shingle = np.zeros(1 << SKETCH_BITS, np.uint16), np.zeros(1 << SHINGLE_BITS, np.uint8)
     for kind, out, per, top in ((0, word, 6, 340), (1, shingle, 2, 63)):
-        own = rows[rows["kind"] == kind]
-        out[own["bucket"].to_numpy(np.int64)] = np.minimum(top, np.floor(per * np.log2(own["n"].to_numpy(np.float64))))
+        own = kinds == kind
+        out[buckets[own]] = np.minimum(top, np.floor(per * np.log2(n[own].astype(np.float64))))
+    del rows, kinds, buckets, n
+    release(texts.sparkSession)
     return word, shingle
 
 
@@ -289,19 +293,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         seed += 1  # two sets share a value: draw other values for all
 
     # lists with two sets or more; the sort key orders members by position, then by value
-    postings = sets.select("v", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("key", F.expr("shiftleft(cast(least(pos, 4095) as bigint), 51) | shiftrightunsigned(v, 13)"))
-    several = postings.groupBy("token").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
-    lists = materialise(postings.join(several.select("token", "first"), "token").dropDuplicates(["token", "v"]), "lists")
-
-    del several, postings
+    # one shuffle: n and pos share a number, and all that is asked of a list is asked where its members lie
+    postings = sets.select("v", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "v", F.expr("shiftleft(n, 32) | cast(pos as bigint)").alias("np"))
+    postings = postings.repartition("token").select("token", "v", F.shiftright("np", 32).alias("n"), F.expr("cast(np & 4294967295 as int)").alias("pos"))
+    own = Window.partitionBy("token")
+    ends = postings.withColumn("key", F.expr("shiftleft(cast(least(pos, 4095) as bigint), 51) | shiftrightunsigned(v, 13)")).select("*", F.min("key").over(own).alias("first"), F.max("key").over(own).alias("last"))
+    several = ends.where("first <> last").drop("last").dropDuplicates(["token", "v"])
+    # step 4: leaders, of equal keys the smallest value
+    leader = F.min(F.when(F.col("key") == F.col("first"), F.struct("v", "n", "pos"))).over(own)
+    lists = materialise(several.select("token", "v", "n", "pos", leader.alias("lead")), "lists")
+
+    del several, postings, ends
     release(spark)
-    # step 4: leaders
-    leaders = lists.where("key = first").groupBy("token").agg(F.min("v").alias("v")).join(lists, ["token", "v"]).select("token", "v", "n", "pos")
-    star = lists.alias("b").join(leaders.alias("a"), "token").where(F.col("a.v") != F.col("b.v")).where(_may_link(percent))
+    star = lists.select(F.col("lead").alias("a"), F.struct("v", "n", "pos").alias("b")).where(F.col("a.v") != F.col("b.v")).where(_may_link(percent))
     digests = materialise(sets.where(F.size("digest") > 0).select("v", "n", "digest").join(lists.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"]), "digests")
     star = materialise(_may_be_near(star.select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct(), digests, percent), "star")
     asked = star.select(F.explode(F.array("a", "b")).alias("v")).distinct()
     known = materialise(_needed(texts, asked, levels, k, seed), "sets")
+    release(spark)
     answers = materialise(_verify(star, known), "answers")
     drop_materialised(known)
     release(spark)
@@ -345,6 +354,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         unsure = rest.where("not must")
         asked = unsure.select(F.explode(F.array("a", "b")).alias("v")).distinct()
         known = materialise(_needed(texts, asked, levels, k, seed), "sets")
+        release(spark)
         more = _verify(unsure, known).where(_links(percent)).select("a", "b").unionByName(rest.where("must").select("a", "b"))
         edges = materialise(edges.unionByName(more), "links")
         drop_materialised(known)

@@ -71,3 +71,23 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(7, 7), (300, 300), (None, 3), (200, 201), (201, 200)]
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 140)}, 300: 300, 200: 200, 201: 200}
+
+
+def test_lists_take_one_shuffle_and_no_row_objects(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, write_table = {}, J.materialise
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write_table(df, name)
+
+    def refuse(self):
+        raise AssertionError("a row object for each bucket on the driver")
+
+    monkeypatch.setattr(J, "materialise", watched)
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    docs = corpus(3)
+    got = J.jaccard_components(documents(spark, docs)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(docs)
+    assert plans["lists"].count("Exchange") == 1
