@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kerbside.llm import decontaminate, jaccard, mixing, tokens_out, toxicity
-from kerbside.storage import materialise
+from kerbside.llm.textvec import give_back
+from kerbside.storage import materialise, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, name.replace(" ", "-"))
+            # what the driver held for the stage goes before the next one takes its own
+            release(spark)
+            give_back()
     return docs
