@@ -279,3 +279,11 @@ def test_copies_of_a_position_are_not_paired(spark, monkeypatch):
     got = {r.id: r.cluster for r in found.collect()}
     assert got == {k: 5 for k in (*range(11, 41), 5, 98, 99)} | {3: None, 50: None, 1: None}
     assert max(seen[0]) < 10
+
+
+def test_pairs_within_sends_five_copies_and_meets_each_pair_once(spark):
+    spots = [(k, k % 2, (k * 37 % 23) * 1.5 - 10, (k * 53 % 19) * 1.5 - 10) for k in range(60)]
+    df = spark.createDataFrame(spots, "track_id long, frame_id long, x double, y double")
+    found = interactions.pairs_within(df, 5.0, ["frame_id"], "track_id")
+    want = sorted((p[0], q[0]) for p in spots for q in spots if p[0] < q[0] and p[1] == q[1] and ((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2) ** 0.5 <= 5.0)
+    assert sorted((r.a.track_id, r.b.track_id) for r in found.collect()) == want and len(want) > 50
