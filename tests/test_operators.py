@@ -150,6 +150,32 @@ def test_assignment_against_all_orders():
     assert tracking.assign(np.zeros((0, 3))) == []
 
 
+def test_units_are_assigned_as_single_boxes_are():
+    r = np.random.default_rng(3)
+    for k in range(150):
+        n, m = r.integers(0, 8, 2)
+        gain = np.maximum(0, r.integers(-3, 6, (n, m)) / 6 if k % 2 else r.random((n, m)) - 0.3)
+        supply, room = r.integers(1, 5, n), r.integers(1, 5, m)
+        sent = tracking.ship(gain, supply, room)
+        each = np.repeat(np.repeat(gain, supply, 0), room, 1)
+        assert (sent >= 0).all() and (sent.sum(1) <= supply).all() and (sent.sum(0) <= room).all() and (gain[sent > 0] > 0).all()
+        assert (sent * gain).sum() == pytest.approx(sum(each[a, b] for a, b in tracking.assign(1 - each)) if n and m else 0)
+
+
+@pytest.mark.parametrize("looks", [False, True])
+def test_a_crowd_costs_by_its_kinds(monkeypatch, looks):
+    moved, alone = [], tracking.BoxFilter.predict
+    monkeypatch.setattr(tracking.BoxFilter, "predict", lambda self, motion=None: moved.append(1) or alone(self, motion))
+    monkeypatch.setattr(tracking, "assign", lambda cost: pytest.fail("boxes are assigned one by one"))
+    state, seen = tracking.State(), []
+    for frame in range(4):
+        found = [{"x1": 90.0 * (k % 3) + frame, "y1": 5.0, "x2": 90.0 * (k % 3) + frame + 40, "y2": 30.0, "confidence": 0.9, "timestamp_s": frame / 10, "class_name": "CAR", "look": np.eye(3)[k % 3]} for k in range(60)]
+        seen = tracking.advance(state, frame, found, Tracker(), looks)
+        assert [t.id for t in seen] == list(range(1, 61)) and all(t.frame == frame for t in seen)
+    # each track stays with the boxes of its own kind, and a kind's filter moves once in a frame
+    assert {(round(t.filter.box()[0] / 90), (t.id - 1) % 3) for t in seen} == {(k, k) for k in range(3)} and len(moved) == 6
+
+
 def test_features_and_scores(spark, scene):
     k, t = scene
     f = features.track_features(k)
