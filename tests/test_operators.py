@@ -162,6 +162,13 @@ def test_units_are_assigned_as_single_boxes_are():
         assert (sent * gain).sum() == pytest.approx(sum(each[a, b] for a, b in tracking.assign(1 - each)) if n and m else 0)
 
 
+def test_equal_gains_are_shipped_together(monkeypatch):
+    shapes, alone = [], tracking._ship
+    monkeypatch.setattr(tracking, "_ship", lambda gain, *a: shapes.append(gain.shape) or alone(gain, *a))
+    sent = tracking.ship(np.kron(np.eye(2), np.ones((30, 20))), np.full(60, 2), np.full(40, 4))
+    assert set(shapes) == {(2, 2)} and sent.sum() == 120 and not sent[:30, 20:].any() and not sent[30:, :20].any()
+
+
 @pytest.mark.parametrize("looks", [False, True])
 def test_a_crowd_costs_by_its_kinds(monkeypatch, looks):
     moved, alone = [], tracking.BoxFilter.predict
