@@ -320,3 +320,17 @@ def test_pairs_within_sends_five_copies_and_meets_each_pair_once(spark):
     found = interactions.pairs_within(df, 5.0, ["frame_id"], "track_id")
     want = sorted((p[0], q[0]) for p in spots for q in spots if p[0] < q[0] and p[1] == q[1] and ((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2) ** 0.5 <= 5.0)
     assert sorted((r.a.track_id, r.b.track_id) for r in found.collect()) == want and len(want) > 50
+
+
+def test_pairs_of_boxes_come_of_their_places(spark, monkeypatch):
+    monkeypatch.setattr(detection, "PIECE", 3)
+    r, rows = np.random.default_rng(7), []
+    for k in range(90):
+        x, y, s = (float(v) for v in r.integers(0, 4, 3))
+        rows.append(("a", k % 80, int(k % 3), 0.0, x, y, x + s, y + s, 0.9, "CAR"))
+    rows.append(("a", 100, 7, 0.0, 1.0, 1.0, 2.0, 2.0, 0.9, "CAR"))
+    found = detection.overlapping(dets(spark, rows))
+    assert "box" not in found.columns
+    box = lambda x: np.array([x[4:8]], float)
+    want = sorted((a[1], b[1], round(float(detection.overlaps(box(a), box(b))[0, 0]), 9)) for a in rows for b in rows if a[2] == b[2] and a[1] < b[1])
+    assert sorted((x.a, x.b, round(x.iou, 9)) for x in found.collect()) == want and len(want) > 1000
