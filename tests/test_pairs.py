@@ -110,3 +110,12 @@ def test_full_cells_are_joined_as_by_all_pairs():
         for _ in range(m):
             label = np.where(core, np.where(near & core & core[:, None], label, m).min(1, initial=m), label)
         assert ((label[core][:, None] == label[core]) == (group[core][:, None] == group[core])).all()
+
+
+def test_clusters_without_keys_and_with_ids_of_two_parts_cross_tiles(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "TILE", 2)
+    r = random.Random(8)
+    rows = [((10 - k % 9, k), 0, r.uniform(-20, 20), r.uniform(-20, 20)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id struct<track_id: long, frame_id: long>, z long, x double, y double").drop("z")
+    found = clusters.dbscan(df, 2.5, 3)
+    assert {tuple(x.id): x.cluster and tuple(x.cluster) for x in found.collect()} == _by_hand(rows, 2.5, 3)
