@@ -119,3 +119,14 @@ def test_clusters_without_keys_and_with_ids_of_two_parts_cross_tiles(spark, monk
     df = spark.createDataFrame(rows, "id struct<track_id: long, frame_id: long>, z long, x double, y double").drop("z")
     found = clusters.dbscan(df, 2.5, 3)
     assert {tuple(x.id): x.cluster and tuple(x.cluster) for x in found.collect()} == _by_hand(rows, 2.5, 3)
+
+
+def test_pairs_leave_a_slab_as_places_and_none_is_shuffled(spark, monkeypatch):
+    kin = scene(spark).localCheckpoint()
+    monkeypatch.setattr(nearby, "BLOCK", 64)
+    e = interactions.edges(kin, 25.0)
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate inline") < plan.index("FlatMapGroupsInArrow")
+    p = [x for x in kin.collect() if x.frame_id is not None and x.x is not None]
+    want = sorted((a.frame_id, a.track_id, b.track_id) for a in p for b in p if a.frame_id == b.frame_id and a.track_id < b.track_id and ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) ** 0.5 <= 25.0)
+    assert sorted((x.frame_id, x.track_a, x.track_b) for x in e.collect()) == want and len(want) > 1000
